@@ -102,12 +102,25 @@ from (select event_id, user_id, ts, event_type, cast(round(value * 100) as bigin
       from {events}) e
 """
 
+# One inbox batch per order; open orders wait for review, status P is still processing.
+BATCHES = """
+select cast(o_orderkey as string) as id,
+       case when o_orderstatus = 'P' then 'processing' when o_orderpriority = '5-LOW' then 'discarded'
+            when o_orderpriority = '1-URGENT' then 'completed' when o_orderstatus = 'F' then 'failed'
+            else 'readyForReview' end as status,
+       o_orderdate as created_at, concat('Priority ', o_orderpriority) as source,
+       concat('img_', cast(o_custkey % 50 as string), '.png') as path_a,
+       concat('img_', o_orderpriority, '.png') as path_b, o_orderkey
+from {orders}
+"""
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "ledger": (("orders",), LEDGER),
     "ledger_fine": (("events",), LEDGER_FINE),
     "ledger_big": (("lineitem",), LEDGER_BIG),
     "candidates": (("lineitem", "orders"), CANDIDATES),
     "sms": (("events",), MESSAGES),
+    "batches": (("orders",), BATCHES),
 }
 
 
