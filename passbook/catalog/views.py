@@ -114,6 +114,12 @@ select cast(o_orderkey as string) as id,
 from {orders}
 """
 
+# Messages of few distinct bodies: one text per event type.
+PROMOS = """
+select cast(event_id as string) as sms_id, concat('Notice: ', event_type, case when event_id % 3 = 0 then ' ' else '' end) as body, ts
+from {events}
+"""
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "ledger": (("orders",), LEDGER),
     "ledger_fine": (("events",), LEDGER_FINE),
@@ -121,6 +127,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "candidates": (("lineitem", "orders"), CANDIDATES),
     "sms": (("events",), MESSAGES),
     "batches": (("orders",), BATCHES),
+    "promos": (("events",), PROMOS),
 }
 
 

@@ -7,14 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
+# Blank characters beyond ASCII count as blanks too.
+WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+# Word edges by ASCII word characters, whatever the engine's own idea of a letter.
+EDGE = r"(?<![A-Za-z0-9_])"
+END = r"(?![A-Za-z0-9_])"
+
+
+def let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def squeeze(x: Column) -> Column:
     """All blanks to one, ends trimmed."""
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, WS + "+", " "))
 
 
 def strip(x: Column) -> Column:
     """Whitespace of any kind off both ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
 
 
 def blank(x: Column) -> Column:
@@ -28,7 +41,7 @@ def blank_to_null(x: Column) -> Column:
 
 def no_blanks(x: Column) -> Column:
     """Lower case without any whitespace, the form in which labels are compared."""
-    return F.regexp_replace(F.lower(x), r"\s+", "")
+    return F.regexp_replace(F.lower(x), WS + "+", "")
 
 
 def any_of(tests: list[Column]) -> Column:
