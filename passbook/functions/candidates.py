@@ -73,9 +73,8 @@ def needs_review_token(grouping: Column, amount: Column, merchant: Column, date:
     return (amount < 0.70) | (merchant < 0.50) | (date < 0.40) | (grouping < 0.60) | has_warnings()
 
 
-def resolved_category() -> Column:
+def resolved_category(title: Column) -> Column:
     """The candidate's own category, else one by keyword, else the default of its type."""
-    text = rule_text(effective_title(), F.col("merchant"))
-    found = suggest_category(F.col("type"), text)
+    found = suggest_category(F.col("type"), rule_text(title, F.col("merchant")))
     own = F.when(~blank(F.col("category_id")), F.col("category_id"))
     return F.coalesce(own, found, default_category(F.col("type")))

@@ -11,6 +11,7 @@ from passbook.fixed_values import (
     INCOME_KEYWORDS,
     words,
 )
+from passbook.functions.text import let
 
 
 def _constant_map(entries: dict[str, str]) -> Column:
@@ -51,9 +52,9 @@ def rule_tokens(text: Column) -> Column:
     The text is cut once at everything but ASCII word characters; all rules then
     are one hash intersection instead of a regular expression per category.
     """
-    phrases = [k for rules in (EXPENSE_KEYWORDS, INCOME_KEYWORDS) for line in rules.values() for k in words(line) if is_phrase(k)]
-    found = F.array_compact(F.array(*[F.when(text.contains(p), F.lit(p)) for p in phrases]))
-    return F.concat(F.split(text, "[^a-z0-9_]+"), found)
+    rules = (EXPENSE_KEYWORDS, INCOME_KEYWORDS)
+    phrases = F.array(*[F.lit(k) for r in rules for line in r.values() for k in words(line) if is_phrase(k)])
+    return let(text, lambda x: F.concat(F.split(x, "[^a-z0-9_]+"), F.filter(phrases, lambda p: F.contains(x, p))))
 
 
 def _first_keyword(tokens: Column, rules: dict[str, str]) -> Column:

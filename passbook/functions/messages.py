@@ -19,7 +19,7 @@ from passbook.fixed_values import (
     PROMOTION_PHRASES,
     SENDER_CODES,
 )
-from passbook.functions.text import EDGE, END, any_of, contains_any, first_value, let, strip
+from passbook.functions.text import EDGE, END, contains_any, first_value, let, strip
 
 # ---- fixed patterns ------------------------------------------------------------------------
 
@@ -109,13 +109,9 @@ MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 def is_spam(text: Column, sender: Column, excluded: Iterable[str] = ()) -> Column:
     """One-time passwords, promotions, and the user's own keywords; all plain substrings."""
-    lower, who = F.lower(text), F.coalesce(F.lower(sender), F.lit(""))
-    tests = [contains_any(lower, OTP_PHRASES), contains_any(lower, _minimal(PROMOTION_PHRASES))]
-    for word in excluded:
-        clean = word.strip().lower()
-        if clean:
-            tests.append(lower.contains(clean) | who.contains(clean))
-    return any_of(tests)
+    own = [w.strip().lower() for w in excluded if w.strip()]
+    found = contains_any(F.lower(text), [*OTP_PHRASES, *_minimal(PROMOTION_PHRASES), *own])
+    return found | contains_any(F.coalesce(F.lower(sender), F.lit("")), own) if own else found
 
 
 def _minimal(phrases: Iterable[str]) -> list[str]:
@@ -126,8 +122,11 @@ def _minimal(phrases: Iterable[str]) -> list[str]:
 
 def is_likely(body: Column) -> Column:
     """Cheap prefilter: an action word, a currency mark, no one-time password."""
-    lower = F.lower(body)
-    return contains_any(lower, LIKELY_ACTIONS) & contains_any(lower, LIKELY_MARKS) & ~contains_any(lower, LIKELY_OTP)
+
+    def test(x: Column) -> Column:
+        return contains_any(x, LIKELY_ACTIONS) & contains_any(x, LIKELY_MARKS) & ~contains_any(x, LIKELY_OTP)
+
+    return let(F.lower(body), test)
 
 
 # ---- amount, direction, bank, references ------------------------------------------------------
@@ -135,50 +134,63 @@ def is_likely(body: Column) -> Column:
 
 def minor_from_text(x: Column) -> Column:
     """Digits with commas and up to two decimals, as integer minor units; no double on the way."""
-    clean = F.replace(x, F.lit(","), F.lit(""))
-    digits = F.concat(F.split_part(clean, F.lit("."), F.lit(1)), F.rpad(F.substring(F.split_part(clean, F.lit("."), F.lit(2)), 1, 2), 2, "0"))
-    return F.when(clean.rlike(r"^\d"), digits.try_cast("long"))
+
+    def parts(clean: Column) -> Column:
+        cents = F.substring(F.split_part(clean, F.lit("."), F.lit(2)), 1, 2)
+        digits = F.concat(F.split_part(clean, F.lit("."), F.lit(1)), F.rpad(cents, 2, "0"))
+        return F.when(clean.rlike(r"^\d"), digits.try_cast("long"))
+
+    return let(F.replace(x, F.lit(","), F.lit("")), parts)
 
 
 def direction(text: Column) -> Column:
     """Debit or credit words; with both, the earlier one decides."""
-    lower = F.lower(text)
-    debit = F.regexp_instr(lower, F.lit(rf"{EDGE}(?:{DEBIT_WORDS}){END}"))
-    credit = F.regexp_instr(lower, F.lit(rf"{EDGE}(?:{CREDIT_WORDS}){END}"))
-    first_debit = (debit > 0) & ((credit == 0) | (debit < credit))
-    return F.when(first_debit, "expense").when(credit > 0, "income")
+
+    def first(word: Column) -> Column:
+        return F.when(word.rlike(rf"(?i)^(?:{DEBIT_WORDS})$"), "expense").when(word != "", "income")
+
+    return let(F.regexp_extract(text, rf"(?i){EDGE}(?:{DEBIT_WORDS}|{CREDIT_WORDS}){END}", 0), first)
 
 
 def amount(text: Column) -> Column:
     """The first marked amount that is not a balance or limit; else after a verb."""
-    tags = F.regexp_extract_all(text, F.lit(MARKED_AMOUNT), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(MARKED_AMOUNT), F.lit(2)), minor_from_text)
-    usable = F.zip_with(tags, values, lambda tag, v: F.when((tag == "") & (v > 0), v))
-    marked = F.coalesce(first_value(usable), F.try_element_at(values, F.lit(1)))
-    by_verb = minor_from_text(F.regexp_extract(text, VERB_AMOUNT, 1))
-    return F.when(text.rlike(rf"(?i){MARK}\s*[\d,]"), marked).otherwise(by_verb)
+
+    def pick(x: Column) -> Column:
+        tags = F.regexp_extract_all(x, F.lit(MARKED_AMOUNT), F.lit(1))
+        values = F.transform(F.regexp_extract_all(x, F.lit(MARKED_AMOUNT), F.lit(2)), minor_from_text)
+        return F.when(x.rlike(rf"(?i){MARK}\s*[\d,]"), let(values, lambda v: usable(tags, v))).otherwise(
+            minor_from_text(F.regexp_extract(x, VERB_AMOUNT, 1))
+        )
+
+    def usable(tags: Column, values: Column) -> Column:
+        spent = F.zip_with(tags, values, lambda tag, v: F.when((tag == "") & (v > 0), v))
+        return F.coalesce(first_value(spent), F.try_element_at(values, F.lit(1)))
+
+    return let(text, pick)
 
 
 def bank_name(text: Column, sender: Column) -> Column:
     """By sender code, else by a name in the text, else ``Bank``."""
+
+    def first(x: Column, table: dict[str, str]) -> Column:
+        rows = F.array(*[F.struct(F.lit(k).alias("mark"), F.lit(v).alias("bank")) for k, v in table.items()])
+        hit = F.filter(rows, lambda r: F.contains(x, r["mark"]))
+        return F.try_element_at(hit, F.lit(1))["bank"]
+
     code = F.upper(F.regexp_replace(F.coalesce(sender, F.lit("")), "^[A-Za-z]{2}-", ""))
-    lower = F.lower(text)
-    chain = None
-    for mark, bank in SENDER_CODES.items():
-        hit = code.contains(mark)
-        chain = F.when(hit, bank) if chain is None else chain.when(hit, bank)
-    for mark, bank in BODY_BANK_WORDS.items():
-        chain = chain.when(lower.contains(mark), bank)
-    return chain.otherwise("Bank")
+    by_code = let(code, lambda x: first(x, SENDER_CODES))
+    by_text = let(F.lower(text), lambda x: first(x, BODY_BANK_WORDS))
+    return F.coalesce(by_code, by_text, F.lit("Bank"))
 
 
 def account_ref(text: Column) -> Column:
+    """Last digits of an account or card; a match always holds digits."""
     digits = F.regexp_replace(F.regexp_extract(text, ACCOUNT, 1), "[xX*]", "")
-    return F.when(text.rlike(ACCOUNT), F.concat(F.lit("A/C **"), digits))
+    return F.concat(F.lit("A/C **"), F.nullif(digits, F.lit("")))
 
 
 def reference_number(text: Column) -> Column:
-    return F.when(text.rlike(REFERENCE), F.regexp_extract(text, REFERENCE, 1))
+    return F.nullif(F.regexp_extract(text, REFERENCE, 1), F.lit(""))
 
 
 def strip_disclaimer(text: Column) -> Column:
@@ -287,7 +299,7 @@ def _inline(text: Column, pattern: str, clean) -> Column:
 
 
 def _inline_first(text: Column, pattern: str, clean) -> Column:
-    return F.when(text.rlike(pattern), clean(F.regexp_extract(text, pattern, 1)))
+    return clean(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")))
 
 
 def from_snippet(lines: Column, text: Column) -> Column:
@@ -362,6 +374,11 @@ def full_year(text: Column) -> Column:
 
 
 def message_date(text: Column) -> Column:
+    """The first numeric date, else the first with a month name."""
+    return let(text, _message_date)
+
+
+def _message_date(text: Column) -> Column:
     def part(pattern: str, i: int) -> Column:
         return F.regexp_extract(text, pattern, i)
 

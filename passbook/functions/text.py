@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 
 
 # Blank characters beyond ASCII count as blanks too.
-WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_BLANKS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WS = f"[{_BLANKS}]"
 
 # Word edges by ASCII word characters, whatever the engine's own idea of a letter.
 EDGE = r"(?<![A-Za-z0-9_])"
@@ -32,7 +33,7 @@ def strip(x: Column) -> Column:
 
 def blank(x: Column) -> Column:
     """True for null, empty and whitespace-only text."""
-    return F.coalesce(squeeze(x), F.lit("")) == ""
+    return ~F.coalesce(x.rlike(f"[^{_BLANKS}]"), F.lit(False))
 
 
 def blank_to_null(x: Column) -> Column:
@@ -49,12 +50,9 @@ def any_of(tests: list[Column]) -> Column:
 
 
 def contains_any(x: Column, phrases) -> Column:
-    """Plain substring test for any of the phrases."""
-    return any_of([x.contains(p) for p in phrases])
-
-
-def equals_any(x: Column, values) -> Column:
-    return x.isin(list(values))
+    """Plain substring test for any of the phrases; the text is worked out once."""
+    listed = F.array(*[F.lit(p) for p in phrases])
+    return let(x, lambda v: F.exists(listed, lambda p: F.contains(v, p)))
 
 
 def first_group(x: Column, pattern: str, group: int = 1) -> Column:

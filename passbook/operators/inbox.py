@@ -134,14 +134,15 @@ def stage_batches(staged: DataFrame, as_of: datetime) -> DataFrame:
 
 def to_ledger(candidates: DataFrame, as_of: datetime) -> DataFrame:
     """Valid candidates as ledger rows; see ``not_importable`` for the others."""
-    return candidates.where(is_valid()).select(
+    named = candidates.where(is_valid()).withColumn("_title", effective_title())
+    return named.select(
         "id",
         "type",
         "amount",
         F.coalesce("currency", F.lit("INR")).alias("currency"),
-        effective_title().alias("title"),
+        F.col("_title").alias("title"),
         F.when(~blank(F.col("merchant")), strip(F.col("merchant"))).alias("merchant"),
-        resolved_category().alias("category_id"),
+        resolved_category(F.col("_title")).alias("category_id"),
         "date",
         "note",
         "source",
