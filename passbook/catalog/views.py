@@ -120,6 +120,70 @@ select cast(event_id as string) as sms_id, concat('Notice: ', event_type, case w
 from {events}
 """
 
+_MONEY = (
+    "concat(cast(cast(floor(minor / 100) as bigint) as string), '.', lpad(cast(minor % 100 as string), 2, '0'))"
+)
+
+# Order lines numbered inside their order, with what a screen shows of them.
+SHOWN = f"""
+select image, rn, minor, shop, day, has_date, {_MONEY} as money from (
+  select cast(l_orderkey as string) as image,
+         row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as rn,
+         cast(round(l_extendedprice * 100) as bigint) as minor,
+         concat('Shop ', chr(cast(65 + l_suppkey % 26 as int)), chr(cast(65 + l_partkey % 26 as int))) as shop,
+         concat(cast(extract(day from l_shipdate) as string), ' September') as day,
+         l_partkey % 5 <> 0 as has_date
+  from {{lineitem}}) x
+"""
+
+_BOX = """0.95 as confidence, 0.95 as score, x1 as min_x, y1 as min_y, x2 as max_x, y2 as max_y,
+       (x1 + x2) / 2.0 as cx, (y1 + y2) / 2.0 as cy, 900.0 as width, 1600.0 as height"""
+_BOX = _BOX.replace("0.95", "cast(0.95 as double)").replace("2.0", "cast(2 as double)")
+_BOX = _BOX.replace("900.0", "cast(900 as double)").replace("1600.0", "cast(1600 as double)")
+
+# A list screen per order: name at the left, amount at the right, date below; and a receipt per order.
+TOKENS = f"""
+select image_id, token_no, text, text as text_normalized, {_BOX} from (
+  select image as image_id, rn * 10 as token_no, shop as text, cast(50 as double) as x1, cast(200 + 90 * rn as double) as y1,
+         cast(200 as double) as x2, cast(230 + 90 * rn as double) as y2 from {{shown}}
+  union all select image, rn * 10 + 1, concat('₹', money), cast(700 as double), cast(200 + 90 * rn as double), cast(820 as double),
+         cast(230 + 90 * rn as double) from {{shown}}
+  union all select image, rn * 10 + 2, day, cast(50 as double), cast(236 + 90 * rn as double), cast(180 as double),
+         cast(258 + 90 * rn as double) from {{shown}} where has_date
+  union all select concat('r', cast(o_orderkey as string)), n, txt, cast(100 as double), cast(80 + 100 * n as double), cast(420 as double),
+         cast(120 + 100 * n as double) from (
+    select o_orderkey, 1 as n, 'Payment Successful' as txt from {{orders}}
+    union all select o_orderkey, 2, concat('₹', cast(cast(round(o_totalprice) as bigint) as string)) from {{orders}}
+    union all select o_orderkey, 3, concat('Paid to Store ', chr(cast(65 + o_custkey % 26 as int)), 'x') from {{orders}}
+    union all select o_orderkey, 4, concat(cast(extract(day from o_orderdate) as string), ' September 2026') from {{orders}}
+    union all select o_orderkey, 5, concat('Transaction ID: T', cast(100000000 + o_orderkey as string)) from {{orders}}) r) t
+"""
+
+# Raw detections: every token twice, the second reading weaker and a little aside, amounts misread.
+DETECTIONS = """
+select image_id, token_no * 2 as token_no, text, confidence, min_x, min_y, max_x, max_y, cx, cy, width, height from {tokens}
+union all
+select image_id, token_no * 2 + 1, replace(text, '₹', 'R'), confidence - cast(0.25 as double), min_x + 3, min_y + 2, max_x + 3, max_y + 2,
+       cx + 3, cy + 2, width, height from {tokens}
+"""
+
+# Document lines: orders with an even key as rows with names and amounts on one line (the first
+# wrapped), odd ones as a timeline of blocks without places.
+LINES = """
+select image_id, line_no, text, x1 as left, y1 as top, x2 as right, y2 as bottom,
+       cast(900 as double) as width, cast(1600 as double) as height from (
+  select image as image_id, rn * 10 as line_no, 'THE GRAND' as text, cast(50 as double) as x1, cast(70 * rn as double) as y1,
+         cast(300 as double) as x2, cast(70 * rn + 18 as double) as y2 from {shown} where cast(image as bigint) % 2 = 0 and rn = 1
+  union all select image, rn * 10 + 1, concat(shop, ' ₹', money), 50, 70 * rn + 20, 800, 70 * rn + 40 from {shown} where cast(image as bigint) % 2 = 0
+  union all select image, rn * 10 + 2, day, 50, 70 * rn + 44, 200, 70 * rn + 58 from {shown} where cast(image as bigint) % 2 = 0 and has_date
+  union all select image, rn * 10 + 3, 'Paid to', null, null, null, null from {shown} where cast(image as bigint) % 2 = 1
+  union all select image, rn * 10 + 4, shop, null, null, null, null from {shown} where cast(image as bigint) % 2 = 1
+  union all select image, rn * 10 + 5, '₹', null, null, null, null from {shown} where cast(image as bigint) % 2 = 1
+  union all select image, rn * 10 + 6, money, null, null, null, null from {shown} where cast(image as bigint) % 2 = 1
+  union all select image, rn * 10 + 7, concat(cast(rn as string), ' days ago'), null, null, null, null from {shown} where cast(image as bigint) % 2 = 1 and has_date
+  union all select image, rn * 10 + 8, 'Debited from', null, null, null, null from {shown} where cast(image as bigint) % 2 = 1) x
+"""
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "ledger": (("orders",), LEDGER),
     "ledger_fine": (("events",), LEDGER_FINE),
@@ -128,6 +192,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "sms": (("events",), MESSAGES),
     "batches": (("orders",), BATCHES),
     "promos": (("events",), PROMOS),
+    "shown": (("lineitem",), SHOWN),
+    "tokens": (("shown", "orders"), TOKENS),
+    "detections": (("tokens",), DETECTIONS),
+    "lines": (("shown",), LINES),
 }
 
 

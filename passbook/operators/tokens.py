@@ -246,6 +246,18 @@ def nearest() -> Column:
     return F.when(F.col("below").isNull() | (up <= down), F.col("above")).otherwise(F.col("below"))
 
 
+def bands(amounts: DataFrame, row_h: Column) -> DataFrame:
+    """Vertical band of each amount: halfway to its neighbours, open ends by eight rows or 300 pixels."""
+    far = F.greatest(row_h * 8.0, F.lit(300.0))
+    w = Window.partitionBy("image_id").orderBy("cy", "token_no")
+    return amounts.withColumns(
+        {
+            "band_top": F.coalesce((F.col("cy") + F.lag("cy").over(w)) / 2.0, F.col("cy") - far),
+            "band_bottom": F.coalesce((F.col("cy") + F.lead("cy").over(w)) / 2.0, F.col("cy") + far),
+        }
+    )
+
+
 def near_marks(rows: DataFrame, marks: DataFrame, reach: float, how: str, closed: bool) -> DataFrame:
     """Semi or anti join with marks of the same image at most ``reach`` above or below.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,6 +26,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a table read as fewer splits than the session has slots.
+
+    A small file is one split and so one task; work that is heavy per row then
+    uses one core. Tables of many splits, as on a cluster, pass through as they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def local_session(app: str = "passbook", cores: int | str = "*", **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     builder = (
