@@ -66,8 +66,6 @@ def _(t):
     )
 
 
-_LINE_DATE = """case when cast(image as bigint) % 2 = 1 then timestamp '2026-09-30 00:00:00' - cast(rn as integer) * interval 1 day
-      else make_timestamp(2026, 9, cast(split_part(day, ' ', 1) as bigint), 0, 0, 0.0) end"""
 # A day without a year that lies ahead of the reference date goes back one year; September has no 31st.
 _LINE_DATE = """case when cast(image as bigint) % 2 = 1 then timestamp '2026-09-30 00:00:00' - cast(rn as integer) * interval 1 day
       else timestamp '2026-08-31 00:00:00' + cast(split_part(day, ' ', 1) as integer) * interval 1 day end"""
@@ -142,7 +140,7 @@ def _(t):
 
 @query(
     "agg_layout_lines",
-    """select image as image_id, case when cast(image as bigint) % 2 = 1 then 'timeline' else 'rows' end as layout,
+    """select image as image_id, case when cast(image as bigint) % 2 = 0 then 'rows' when count(*) = 1 then 'receipt' else 'timeline' end as layout,
          cast(count(*) as bigint) as amounts from shown group by image""",
     "shown",
 )

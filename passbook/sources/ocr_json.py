@@ -127,7 +127,7 @@ def read_remote_ocr(spark: SparkSession, path: str, one_per_file: bool = True) -
 def _score(*keys: str) -> Column:
     """First score given, clamped to 0..1; 1 where it is missing or no number."""
     value = F.coalesce(*keys).try_cast("double")
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), F.lit(1.0))
+    return F.when(value.isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
 
 def remote_items(responses: DataFrame) -> DataFrame:
