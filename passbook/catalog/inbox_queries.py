@@ -11,6 +11,7 @@ from passbook.catalog.views import AS_OF
 from passbook.functions import candidates as rules
 from passbook.operators import dedup, inbox
 from passbook.operators.categorise import categorise
+from passbook.session import spread
 
 _BLANK = "coalesce(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '') = ''"
 
@@ -34,7 +35,7 @@ TITLE = f"case when not {blank('title')} then trim(title) else merchant end"
 def candidates(t):
     """The candidate view with its warnings as an array."""
     warnings = F.when(F.col("warning").isNotNull(), F.array("warning")).otherwise(F.array().cast("array<string>"))
-    return t.candidates.withColumn("warnings", warnings).drop("warning")
+    return spread(t.candidates.withColumn("warnings", warnings).drop("warning"))
 
 
 # ---- candidate rules -----------------------------------------------------------------------
@@ -289,7 +290,7 @@ def _(t):
         F.col("text").alias("title"),
         F.col("source").alias("merchant"),
     )
-    return categorise(rows).select("id", "category_id", "category_name", "reason")
+    return categorise(spread(rows)).select("id", "category_id", "category_name", "reason")
 
 
 @query("join_keyword_rules", f"""select id, {category_sql("txt")} as category_id, {keyword_sql("txt")} as keyword

@@ -75,7 +75,8 @@ def date_kind(text: Column, lenient: bool = False) -> Column:
             .when(x.rlike(rf"(?i)^(?:today|yesterday|{worded}|{numeric})$"), "date")
         )
 
-    return let(strip(text), read)
+    # A text without a digit or one of two words needs no closer look.
+    return let(strip(text), lambda v: F.when(v.rlike(r"(?i)\d|^today|^yesterday"), read(v)))
 
 
 def month_of(name: Column, lenient: bool = False) -> Column:

@@ -27,13 +27,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spreads a table read as fewer splits than the session has slots.
+    """Spreads rows that come from fewer files than the session has slots.
 
     A small file is one split and so one task; work that is heavy per row then
-    uses one core. Tables of many splits, as on a cluster, pass through as they are.
+    uses one core. Tables of many files, as on a cluster, pass through as they are.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
 
 
 def local_session(app: str = "passbook", cores: int | str = "*", **conf: str) -> SparkSession:
