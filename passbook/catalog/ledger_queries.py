@@ -416,9 +416,8 @@ def _(t):
 )
 def _(t):
     """Share of the whole for many groups: the total is a scalar, not a one-task window."""
-    grouped = t.ledger_big.groupBy("merchant").agg(F.sum("amount").alias("total"))
-    whole = grouped.select(F.sum("total")).scalar()
-    return grouped.select("merchant", "total", (F.col("total") / whole * 100).alias("share"))
+    grouped = t.ledger_big.groupBy("merchant").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("count"))
+    return analytics.with_share(grouped).select("merchant", "total", "share")
 
 
 def insights_sql(table: str, p: Period) -> str:

@@ -8,8 +8,6 @@ from pyspark.sql import Window, functions as F
 
 from passbook.catalog.registry import query
 from passbook.functions import boxes
-from passbook.functions import lines as line_rules
-from passbook.functions import tokens as rules
 from passbook.operators import lines, quality, regions, remote, spatial, tokens
 from passbook.session import scratch_path, spread
 from passbook.sources import ocr_json

@@ -240,28 +240,30 @@ def trend(df: DataFrame, period: Period) -> DataFrame:
 def category_breakdown(df: DataFrame, period: Period) -> DataFrame:
     """Expense per category with its share of the total, largest first.
 
-    The total is a scalar subquery over the grouped rows: no global window,
-    and the grouped exchange is reused.
+    The total is a scalar subquery over the grouped rows, so no window draws all
+    groups into one task. It asks for the same aggregates as the main plan: the
+    grouped exchange is then made once and used twice.
     """
     grouped = (
         df.where(in_period(period) & ~_is_income())
         .groupBy(_category_key().alias("category_id"))
         .agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("count"))
     )
-    whole = grouped.select(F.sum("total").alias("whole")).scalar()
-    return (
-        grouped.withColumn("whole", whole)
-        .select(
-            "category_id",
-            category_name(F.lit("expense"), F.col("category_id")).alias("category_name"),
-            "total",
-            F.when(F.col("whole") > 0, F.try_divide("total", "whole") * 100)
-            .otherwise(F.lit(0.0))
-            .alias("percentage"),
-            "count",
-        )
-        .orderBy(F.desc("total"), "category_id")
-    )
+    return with_share(grouped).select(
+        "category_id",
+        category_name(F.lit("expense"), F.col("category_id")).alias("category_name"),
+        "total",
+        F.when(F.col("whole") > 0, F.col("share")).otherwise(F.lit(0.0)).alias("percentage"),
+        "count",
+    ).orderBy(F.desc("total"), "category_id")
+
+
+def with_share(grouped: DataFrame) -> DataFrame:
+    """Adds the whole and the percentage of it to grouped rows with ``total`` and ``count``."""
+    both = F.struct(F.sum("total").alias("total"), F.sum("count").alias("count"))
+    return grouped.withColumn("_whole", grouped.select(both).scalar()).withColumns(
+        {"whole": F.col("_whole.total"), "share": F.try_divide("total", F.col("_whole.total")) * 100}
+    ).drop("_whole")
 
 
 def top_expenses(df: DataFrame, period: Period, k: int = 5) -> DataFrame:
