@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from passbook.functions.messages import minor_from_text, rolled_date
 from passbook.functions.text import EDGE, END, contains_any, let, no_blanks, strip
+from passbook.functions.times import at
 
 MONTH_NAMES = (
     "january february march april may june july august september october november december"
@@ -101,15 +102,14 @@ def _at(day: Column, clock: Column) -> Column:
 
     half = F.lower(F.regexp_extract(clock, PURE_TIME, 4))
     hour = F.when((half == "pm") & (part(1) < 12), part(1) + 12).when((half == "am") & (part(1) == 12), 0).otherwise(part(1))
-    seconds = hour * 3600 + part(2) * 60 + part(3)
-    shifted = F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + seconds.cast("long") * 1_000_000)
-    return F.when(clock.rlike(PURE_TIME), shifted.cast("timestamp_ntz")).otherwise(day)
+    shifted = day + F.make_dt_interval(F.lit(0), hour, part(2), part(3))
+    return F.when(clock.rlike(PURE_TIME), shifted).otherwise(day)
 
 
 def detect_date(text: Column, as_of: datetime, lenient: bool = False) -> Column:
     """``struct(kind, date, confidence, explicit_year)``; kind is date, time, datetime or null."""
-    today = F.lit(as_of.replace(hour=0, minute=0, second=0, microsecond=0))
-    now = F.lit(as_of)
+    today = at(as_of.replace(hour=0, minute=0, second=0, microsecond=0))
+    now = at(as_of)
 
     def make(kind: str | Column, date: Column, confidence: float, year: Column | bool = False) -> Column:
         return F.struct(
@@ -141,9 +141,9 @@ def detect_date(text: Column, as_of: datetime, lenient: bool = False) -> Column:
 
     def read(x: Column) -> Column:
         clock_ok = (number(x, PURE_TIME, 1) < 24) & (number(x, PURE_TIME, 2) < 60)
-        base = F.when(F.lower(group(x, RELATIVE, 1)) == "yesterday", F.lit(as_of) - F.expr("interval 1 day")).otherwise(now)
+        base = F.when(F.lower(group(x, RELATIVE, 1)) == "yesterday", at(as_of) - F.expr("interval 1 day")).otherwise(now)
         spoken = group(x, RELATIVE, 2)
-        base_day = F.date_trunc("day", base.cast("timestamp")).cast("timestamp_ntz")
+        base_day = F.to_date(base).cast("timestamp_ntz")
         relative = make(
             F.when(spoken.rlike(PURE_TIME), "datetime").otherwise("date"),
             F.when(spoken.rlike(PURE_TIME), _at(base_day, spoken)).otherwise(base),

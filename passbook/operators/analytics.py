@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passbook.functions.categories import category_name
 from passbook.functions.money import fixed_text, rounded_mean, whole_major_text
+from passbook.functions.times import at
 from passbook.operators.history import display_title
 from passbook.plans.filters import in_period
 from passbook.plans.period import Period
@@ -193,7 +194,7 @@ def comparison(df: DataFrame, period: Period) -> DataFrame:
 def _bucket_pos(period: Period) -> Column:
     chain = None
     for b in period.buckets():
-        hit = F.col("date").between(F.lit(b.start), F.lit(b.end))
+        hit = F.col("date").between(at(b.start), at(b.end))
         chain = F.when(hit, F.lit(b.pos)) if chain is None else chain.when(hit, F.lit(b.pos))
     return chain
 
@@ -201,7 +202,7 @@ def _bucket_pos(period: Period) -> Column:
 def _bucket_spine(spark: SparkSession, period: Period) -> DataFrame:
     rows = [
         F.struct(
-            F.lit(b.pos).alias("pos"), F.lit(b.label).alias("label"), F.lit(b.start).alias("bucket_start")
+            F.lit(b.pos).alias("pos"), F.lit(b.label).alias("label"), at(b.start).alias("bucket_start")
         )
         for b in period.buckets()
     ]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from passbook.fixed_values import DEFAULT_CURRENCY, SOURCES, TYPES
 from passbook.functions.categories import category_name, known_category
+from passbook.functions.times import at
 from passbook.plans.period import midnight
 
 
@@ -39,7 +40,7 @@ def by_id(df: DataFrame, row_id: str) -> DataFrame:
 
 
 def by_date_range(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    inside = F.col("date").between(F.lit(start), F.lit(end))
+    inside = F.col("date").between(at(start), at(end))
     return df.where(inside).orderBy(F.desc("date"), "id")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from passbook.functions.candidates import effective_title, is_valid, needs_review, needs_review_strict, resolved_category
 from passbook.functions.text import blank, strip
+from passbook.functions.times import at
 from passbook.operators.skew import salted_left_join
 
 # States of a batch.
@@ -125,7 +126,7 @@ def stage_batches(staged: DataFrame, as_of: datetime) -> DataFrame:
         .withColumns(
             {
                 "status": F.lit("readyForReview"),
-                "created_at": F.lit(as_of),
+                "created_at": at(as_of),
                 "source": label,
             }
         )
@@ -146,8 +147,8 @@ def to_ledger(candidates: DataFrame, as_of: datetime) -> DataFrame:
         "date",
         "note",
         "source",
-        F.lit(as_of).alias("created_at"),
-        F.lit(as_of).alias("updated_at"),
+        at(as_of).alias("created_at"),
+        at(as_of).alias("updated_at"),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passbook.functions import tokens as t
 from passbook.functions.text import contains_any, let, no_blanks, strip
+from passbook.functions.times import at
 from passbook.operators.skew import salted_left_join
 from passbook.session import scratch_path
 
@@ -593,7 +594,7 @@ def fill_dates(df: DataFrame, as_of: datetime, column: str = "date") -> DataFram
     return filled.withColumns(
         {
             "date_inferred": inferred,
-            column: F.coalesce(column, "_b", "_a", F.lit(as_of)),
+            column: F.coalesce(column, "_b", "_a", at(as_of)),
             "warnings": F.when(inferred, F.array_remove("warnings", W_NO_DATE)).otherwise(F.col("warnings")),
         }
     ).drop("_a", "_b")

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from passbook.functions.categories import category_name
+from passbook.functions.times import at
 from passbook.plans.period import Period, end_of_day, midnight
 
 # Amount presets as (min, max, min closed, max closed) in minor units.
@@ -24,7 +25,7 @@ SORT_MODES = ("newest", "oldest", "highest", "lowest", "a_to_z", "z_to_a")
 
 
 def in_period(period: Period, column: str = "date") -> Column:
-    return F.col(column).between(F.lit(period.start), F.lit(period.end))
+    return F.col(column).between(at(period.start), at(period.end))
 
 
 def text_matches(query: str) -> Column:
@@ -73,9 +74,9 @@ def date_in(
     if preset == "custom":
         tests = []
         if start is not None:
-            tests.append(F.col("date") >= F.lit(midnight(start)))
+            tests.append(F.col("date") >= at(midnight(start)))
         if end is not None:
-            tests.append(F.col("date") <= F.lit(end_of_day(end)))
+            tests.append(F.col("date") <= at(end_of_day(end)))
         return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
     if preset == "yesterday":
         return in_period(Period.resolve("today", as_of - timedelta(days=1)))

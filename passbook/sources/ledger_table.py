@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from passbook.functions.times import at
 from passbook.schema import LEDGER
 
 MONTH = "month"
@@ -26,9 +27,9 @@ def read_ledger(
     schema = StructType(LEDGER.fields + [StructField(MONTH, StringType())])
     df = spark.read.schema(schema).parquet(path)
     if start is not None:
-        df = df.where((F.col(MONTH) >= f"{start:%Y-%m}") & (F.col("date") >= F.lit(start)))
+        df = df.where((F.col(MONTH) >= f"{start:%Y-%m}") & (F.col("date") >= at(start)))
     if end is not None:
-        df = df.where((F.col(MONTH) <= f"{end:%Y-%m}") & (F.col("date") <= F.lit(end)))
+        df = df.where((F.col(MONTH) <= f"{end:%Y-%m}") & (F.col("date") <= at(end)))
     return df.drop(MONTH)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passbook.functions.boxes import corner_box, normalise_box
 from passbook.functions.text import let
+from passbook.functions.times import at
 
 _READING = "text string, text_normalized string, confidence double, composite_score double, bbox string"
 ITEM = (
@@ -183,6 +184,6 @@ def remote_candidates(responses: DataFrame, as_of: datetime) -> DataFrame:
         "merchant",
         F.coalesce("category_id", F.when(income, "income").otherwise("general")).alias("category_id"),
         F.when(income, "income").otherwise("expense").alias("type"),
-        F.coalesce("date", F.lit(as_of)).alias("date"),
+        F.coalesce("date", at(as_of)).alias("date"),
         "confidence",
     )
