@@ -84,38 +84,22 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             table, first = OpenTable(), []
 
 
-CLASSED = "of_row long, keep_id long, keep_row long, group_size long"
+CLASSED = "of_row long, class_row long"
 
 
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One table per bucket; records come sorted by bucket."""
-    bucket, table = None, OpenTable()
-    best: list[tuple] = []
-    size: list[int] = []
-    rows: list[list[int]] = []
-
-    def done() -> pd.DataFrame:
-        out = [(r, None if b[0] else b[1], b[2], n) for b, n, rs in zip(best, size, rows, strict=True) for r in rs]
-        return pd.DataFrame(out, columns=["of_row", "keep_id", "keep_row", "group_size"]).astype({"keep_id": "Int64"})
-
+    """One table per bucket; records come sorted by bucket. A class is named by its first record."""
+    bucket, table, first = None, OpenTable(), []
     for batch in batches:
-        for b, key, text, row, none, low, low_row, n in zip(*(batch[c].tolist() for c in ("bucket", "hash", "text", "of_row", "low_none", "low_id", "low_row", "n")), strict=True):
+        named = []
+        for b, key, text, row in zip(*(batch[c].tolist() for c in ("bucket", "hash", "text", "of_row")), strict=True):
             if b != bucket:
-                if rows:
-                    yield done()
-                bucket, table, best, size, rows = b, OpenTable(), [], [], []
+                bucket, table, first = b, OpenTable(), []
             entry = table.put(key, text)
-            mine = (none, low, low_row)
-            if entry == len(rows):
-                best.append(mine)
-                size.append(n)
-                rows.append([row])
-            else:
-                best[entry] = min(best[entry], mine)
-                size[entry] += n
-                rows[entry].append(row)
-    if rows:
-        yield done()
+            if entry == len(first):
+                first.append(row)
+            named.append(first[entry])
+        yield pd.DataFrame({"of_row": batch["of_row"], "class_row": named})
 
 
 def _partition(records: DataFrame, limit: int) -> DataFrame:
@@ -151,9 +135,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = folded.select("row_id", "none", "id", "sha", "of_row")
     lows = members.groupBy("of_row").agg(F.min(F.struct("none", "id", "row_id")).alias("low"), F.count("*").alias("n"))
     records = folded.where(F.col("text").isNotNull()).select("of_row", "hash", "text")
-    bucketed = _partition(records, table_bytes).join(lows, "of_row").select("bucket", "hash", "text", "of_row", F.col("low.none").alias("low_none"), F.col("low.id").alias("low_id"), F.col("low.row_id").alias("low_row"), "n")
-    classes = bucketed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_classes, CLASSED)
-    return members.join(classes, "of_row").select(
-        F.when(~F.col("none"), F.col("id")).alias("doc_id"), "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")
+    bucketed = _partition(records, table_bytes).repartition("bucket").sortWithinPartitions("bucket")
+    classes = materialise(bucketed.mapInPandas(_classes, CLASSED), "dedup-classes")
+    # a class has one record per task at most, so these joins stay small whatever is hot
+    facts = classes.join(lows, "of_row").groupBy("class_row").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    found = classes.join(facts, "class_row").select("of_row", "low", "n")
+    return members.join(found, "of_row").select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
+        F.when(~F.col("low.none"), F.col("low.id")).alias("keep_id"),
+        F.col("n").alias("group_size"),
+        (F.col("row_id") == F.col("low.row_id")).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )
-
