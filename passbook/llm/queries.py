@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import exact_dedup, packing, pieces, secrets, warc
+from passbook.llm import exact_dedup, jaccard, packing, pieces, secrets, substring, warc
 from passbook.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_and_read(table(spark, folder, "pages"))
 
 
+def op6_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, folder, "documents"), with_text=False)
+
+
 def op7_secret_structure(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
@@ -31,7 +35,11 @@ def op8_piece_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_decode(table(spark, folder, "documents"), path, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_grace_dedup, op4_best_fit, op5_warc_segments, op7_secret_structure, op8_piece_rounds)}
+def op10_order_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_grace_dedup, op4_best_fit, op5_warc_segments, op6_seed_extend, op7_secret_structure, op8_piece_rounds, op10_order_filters)}
 
 ORACLES = {
     "op3_grace_dedup": r"""
