@@ -6,8 +6,8 @@ segments: the first keeps the record's id, the others are continuation records t
 number, the last one with the total length. Reading: continuation records are grouped by origin,
 ordered by number, checked for gaps and for the total length, and freed of the chunked framing.
 
-Archives are written by Spark's text writer with the record separator as line end, so they go to any
-file system; a file holds at most FILE_RECORDS records. They are read whole, one file at a time.
+Archives are gzip files written by Spark's text writer with the record separator as line end, so they
+go to any file system; a file holds at most FILE_RECORDS records. They are read whole, one file at a time.
 
 A null html is an empty payload; a null url an empty target. Rows of one page_id are separate pages;
 the first of them in row order counts as smaller. Extra columns are not read.
@@ -16,6 +16,7 @@ the first of them in row order counts as smaller. Extra columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -115,7 +116,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
             yield pd.DataFrame({"value": out})
 
     records = joined.mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("compression", "gzip").option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 PARSED = "type string, id string, origin string, number int, total long, refers string, page string, digest string, block binary"
@@ -139,7 +140,7 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ("warc-type", "warc-record-id", "warc-segment-origin-id", "warc-segment-number", "warc-segment-total-length", "warc-refers-to", "x-page-id", "warc-payload-digest")
     for batch in batches:
         for content in batch["content"]:
-            rows = [(*(h.get(n) for n in names), block) for h, block in parse(bytes(content))]
+            rows = [(*(h.get(n) for n in names), block) for h, block in parse(gzip.decompress(content))]
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in PARSED.split(", ")])
             out["number"], out["total"] = (pd.to_numeric(out[c]).astype("Int64") for c in ("number", "total"))
             yield out
