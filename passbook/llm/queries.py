@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import exact_dedup, jaccard, packing, pieces, secrets, substring, warc
+from passbook.llm import exact_dedup, jaccard, packing, pieces, secrets, substring, toxicity, warc
 from passbook.llm.common import table
 
 
@@ -35,11 +35,15 @@ def op8_piece_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_decode(table(spark, folder, "documents"), path, with_ids=False)
 
 
+def op9_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_order_filters(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_grace_dedup, op4_best_fit, op5_warc_segments, op6_seed_extend, op7_secret_structure, op8_piece_rounds, op10_order_filters)}
+QUERIES = {f.__name__: f for f in (op3_grace_dedup, op4_best_fit, op5_warc_segments, op6_seed_extend, op7_secret_structure, op8_piece_rounds, op9_kernel_toxicity, op10_order_filters)}
 
 ORACLES = {
     "op3_grace_dedup": r"""
