@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passbook.llm.common import BLANKS, text_of
+from passbook.llm.common import BLANKS, materialise, text_of
 
 #: Length of a bin, in words with one end mark per document, and the mean length of a shard.
 CAPACITY, SHARD = 2048, 1 << 20
@@ -96,6 +96,7 @@ def words_and_mark(col: str = "text") -> Column:
 def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, id_col: str = "doc_id", capacity: int = CAPACITY, shard_length: int = SHARD) -> DataFrame:
     """Per piece: doc_id, shard, bin (within the shard), piece, start and length."""
     items = docs.select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("length"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
+    items = materialise(items, "packing-items")  # lengths and clusters, no texts
     total = items.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-total // shard_length))
     # long documents and copies must not gather: the hash covers more than the id alone
