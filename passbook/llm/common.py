@@ -24,11 +24,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Written:
+    """A frame written as Parquet in the shared folder; its rows can be taken out when they are used up."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, scratch(df.sparkSession, name)
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def clear(self) -> None:
+        """Nothing may read the rows after this."""
+        self.spark.createDataFrame([], self.rows.schema).write.mode("overwrite").parquet(self.path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame as Parquet in the shared folder and reads it back: cuts lineage for good."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Written(df, name).rows
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

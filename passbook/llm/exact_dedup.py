@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passbook.llm.common import BLANKS, materialise, text_of, width
+from passbook.llm.common import BLANKS, Written, materialise, text_of, width
 
 #: Bytes of different texts that a task folds at once, and that a bucket may hold.
 TABLE_BYTES = 64 << 20
@@ -131,12 +131,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.regexp_replace(text_of(text_col), BLANKS, " ")
     keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), text.alias("text"))
     keyed = keyed.select("row_id", "none", "id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("hash"), "text")
-    folded = materialise(keyed.mapInPandas(_fold, FOLDED), "dedup-spill-0")
-    members = folded.select("row_id", "none", "id", "sha", "of_row")
+    spilled = Written(keyed.mapInPandas(_fold, FOLDED), "dedup-spill-0")
+    folded = spilled.rows
+    members = materialise(folded.select("row_id", "none", "id", "sha", "of_row"), "dedup-members")
     lows = members.groupBy("of_row").agg(F.min(F.struct("none", "id", "row_id")).alias("low"), F.count("*").alias("n"))
     records = folded.where(F.col("text").isNotNull()).select("of_row", "hash", "text")
     bucketed = _partition(records, table_bytes).repartition("bucket").sortWithinPartitions("bucket")
     classes = materialise(bucketed.mapInPandas(_classes, CLASSED), "dedup-classes")
+    spilled.clear()
     # a class has one record per task at most, so these joins stay small whatever is hot
     facts = classes.join(lows, "of_row").groupBy("class_row").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
     found = classes.join(facts, "class_row").select("of_row", "low", "n")

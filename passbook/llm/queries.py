@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passbook.llm import exact_dedup, jaccard, packing, pieces, secrets, substring, toxicity, warc
+from passbook.llm import ann, exact_dedup, jaccard, packing, pieces, quality, secrets, substring, toxicity, warc
 from passbook.llm.common import table
 
 
+def op1_co_training(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op2_pruned_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_grace_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -43,8 +52,23 @@ def op10_order_filters(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_grace_dedup, op4_best_fit, op5_warc_segments, op6_seed_extend, op7_secret_structure, op8_piece_rounds, op9_kernel_toxicity, op10_order_filters)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_co_training,
+        op2_pruned_graph,
+        op3_grace_dedup,
+        op4_best_fit,
+        op5_warc_segments,
+        op6_seed_extend,
+        op7_secret_structure,
+        op8_piece_rounds,
+        op9_kernel_toxicity,
+        op10_order_filters,
+    )
+}
 
+#: The other operators learn, search, pack or count shingle by shingle; tests compare them with brute force.
 ORACLES = {
     "op3_grace_dedup": r"""
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)

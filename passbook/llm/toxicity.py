@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passbook.llm.common import materialise, text_of
+from passbook.llm.common import Written, materialise, text_of
 
 #: Letters of a subsequence, its widest span, and the weight of each further place.
 LETTERS, SPAN, DECAY = 4, 6, 0.7
@@ -242,9 +242,10 @@ def word_counts(sentences: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine | None:
     """The machine of the training fold; none if no word is a witness."""
-    sentences = materialise(labelled_sentences(docs, labels), "toxic-sentences")
-    counts = materialise(word_counts(sentences), "toxic-words")
-    total = sentences.agg(F.sum("toxic"), F.count("*")).first()
+    written = Written(labelled_sentences(docs, labels), "toxic-sentences")
+    counts = materialise(word_counts(written.rows), "toxic-words")
+    total = written.rows.agg(F.sum("toxic"), F.count("*")).first()
+    written.clear()
     n_words = max(counts.count(), 1)
     rate = min(max((total[0] or 0) / max(total[1], 1), 1e-3), 0.5)
     gain = F.col("toxic") * float(np.log(0.98 / rate)) + F.col("clean") * float(np.log(0.02 / (1 - rate)))
