@@ -11,7 +11,6 @@ from passbook.catalog.views import AS_OF
 from passbook.functions import candidates as rules
 from passbook.operators import dedup, inbox
 from passbook.operators.categorise import categorise
-from passbook.session import spread
 
 _BLANK = "coalesce(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '') = ''"
 
@@ -35,7 +34,7 @@ TITLE = f"case when not {blank('title')} then trim(title) else merchant end"
 def candidates(t):
     """The candidate view with its warnings as an array."""
     warnings = F.when(F.col("warning").isNotNull(), F.array("warning")).otherwise(F.array().cast("array<string>"))
-    return spread(t.candidates.withColumn("warnings", warnings).drop("warning"))
+    return t.candidates.withColumn("warnings", warnings).drop("warning")
 
 
 # ---- candidate rules -----------------------------------------------------------------------
@@ -290,7 +289,7 @@ def _(t):
         F.col("text").alias("title"),
         F.col("source").alias("merchant"),
     )
-    return categorise(spread(rows)).select("id", "category_id", "category_name", "reason")
+    return categorise(rows).select("id", "category_id", "category_name", "reason")
 
 
 @query("join_keyword_rules", f"""select id, {category_sql("txt")} as category_id, {keyword_sql("txt")} as keyword
@@ -331,7 +330,7 @@ def _(t):
 
 
 def documents(t):
-    """Nested documents, written to the scratch folder and read back."""
+    """The inbox written as nested documents to the scratch folder, and read back as headers and rows."""
     from passbook.session import scratch_path
     from passbook.sources import pending
 
@@ -339,7 +338,7 @@ def documents(t):
     rows = flagged(t)
     batches = t.batches.withColumn("paths", F.array("path_a", "path_b"))
     pending.write_pending(pending.documents(batches, rows), path)
-    return pending.read_pending(t.spark, path)
+    return pending.read_batches(t.spark, path)
 
 
 @query(
@@ -348,7 +347,7 @@ def documents(t):
     "candidates ledger",
 )
 def _(t):
-    return inbox.union_batches(documents(t)).select("batch_id", "id", "amount", "duplicate_source")
+    return documents(t)[1].select("batch_id", "id", "amount", "duplicate_source")
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from passbook.catalog.registry import query
 from passbook.functions import boxes
 from passbook.operators import lines, quality, regions, remote, spatial, tokens
-from passbook.session import scratch_path, spread
+from passbook.session import scratch_path
 from passbook.sources import ocr_json
 
 AS_OF = datetime(2026, 9, 30, 12)
@@ -21,7 +21,7 @@ EXPECTED = f"""select image as image_id, minor, shop as merchant_text, case when
 
 
 def source(t):
-    return spread(t.tokens)
+    return t.tokens
 
 
 def classified(t):
@@ -59,7 +59,7 @@ def _(t):
     "tokens",
 )
 def _(t):
-    return regions.consolidate(spread(t.detections)).select(
+    return regions.consolidate(t.detections).select(
         "image_id", "text", "text_normalized", "confidence", "candidates_count"
     )
 
@@ -78,7 +78,7 @@ _LINE_DATE = """case when cast(image as bigint) % 2 = 1 then timestamp '2026-09-
     "shown",
 )
 def _(t):
-    return lines.line_candidates(spread(t.lines), AS_OF).select(
+    return lines.line_candidates(t.lines, AS_OF).select(
         "image_id", "amount", "type", "merchant", "date", "date_missing"
     )
 
@@ -143,7 +143,7 @@ def _(t):
     "shown",
 )
 def _(t):
-    return lines.layout_of(lines.prepare_lines(spread(t.lines), AS_OF)).select("image_id", "layout", "amounts")
+    return lines.layout_of(lines.prepare_lines(t.lines, AS_OF)).select("image_id", "layout", "amounts")
 
 
 @query(
@@ -185,7 +185,7 @@ def _(t):
     "tokens",
 )
 def _(t):
-    return regions.overlap_pairs(spread(t.detections))
+    return regions.overlap_pairs(t.detections)
 
 
 
@@ -288,7 +288,7 @@ def _(t):
 
 @query("win_best_candidate", "select image_id, token_no * 2 as token_no, 1 as rank from tokens", "tokens")
 def _(t):
-    return regions.best_of_cluster(spread(t.detections)).select("image_id", "token_no", "rank")
+    return regions.best_of_cluster(t.detections).select("image_id", "token_no", "rank")
 
 
 @query(
@@ -297,7 +297,7 @@ def _(t):
     "tokens",
 )
 def _(t):
-    return regions.best_of_cluster(spread(t.detections), 2).select("image_id", "token_no", "rank")
+    return regions.best_of_cluster(t.detections, 2).select("image_id", "token_no", "rank")
 
 
 @query(
@@ -352,14 +352,19 @@ def _(t):
     return kept.select("image_id", "line_no", "text")
 
 
+def _of_layout(t, *layouts):
+    """Readings of all documents whose layout was recognised as one of these."""
+    read = lines.prepare_lines(t.lines, AS_OF)
+    return read.join(lines.layout_of(read).where(F.col("layout").isin(*layouts)).select("image_id"), "image_id", "left_semi")
+
+
 @query(
     "win_block",
     """select image as image_id, rn as block, minor, shop as merchant, true as has_direction from shown where cast(image as bigint) % 2 = 1""",
     "shown",
 )
 def _(t):
-    timeline = lines.prepare_lines(spread(t.lines), AS_OF).where("cast(image_id as bigint) % 2 = 1")
-    return lines.timeline_rows(timeline).select(
+    return lines.timeline_rows(_of_layout(t, "timeline", "receipt")).select(
         "image_id", F.floor(F.col("pos") / 10).alias("block"), "minor", F.col("merchant_raw").alias("merchant"), "has_direction"
     )
 
@@ -371,8 +376,7 @@ def _(t):
     "shown",
 )
 def _(t):
-    flat = t.lines.where("cast(image_id as bigint) % 2 = 1")
-    return lines.listed_rows(lines.prepare_lines(spread(flat), AS_OF)).select(
+    return lines.listed_rows(_of_layout(t, "timeline", "receipt")).select(
         "image_id", "minor", F.col("merchant_raw").alias("merchant")
     )
 
@@ -384,8 +388,7 @@ def _(t):
     "shown",
 )
 def _(t):
-    rows = lines.prepare_lines(spread(t.lines.where("cast(image_id as bigint) % 2 = 0")), AS_OF)
-    return lines.combined_rows(rows).where("is_combined").select("image_id", "minor", "name")
+    return lines.combined_rows(_of_layout(t, "rows")).where("is_combined").select("image_id", "minor", "name")
 
 
 @query(
@@ -394,8 +397,7 @@ def _(t):
     "shown",
 )
 def _(t):
-    rows = lines.prepare_lines(spread(t.lines.where("cast(image_id as bigint) % 2 = 0")), AS_OF)
-    return lines.combined_rows(rows).where("is_combined").select("image_id", "minor", "date")
+    return lines.combined_rows(_of_layout(t, "rows")).where("is_combined").select("image_id", "minor", "date")
 
 
 @query(
@@ -405,7 +407,7 @@ def _(t):
 )
 def _(t):
     """Region of each detection, named by its first token."""
-    found = regions.clusters(spread(t.detections))
+    found = regions.clusters(t.detections)
     region = Window.partitionBy("image_id", "row_no", "column_no", "group_no")
     return found.select("image_id", "token_no", F.floor(F.min("token_no").over(region) / 2).alias("region"))
 

@@ -187,8 +187,8 @@ PLAIN_NUMBER = r"^\s*\d{1,3}(?:,\d{2,3})*(?:\.\d{1,2})?\s*$|^\s*\d+(?:\.\d{1,2})
 SIGNED_MISREAD = r"^[+-]?\s*[#＃Rr买尐￥¥尺]\s*\d"
 
 
-def repair_symbol(text: Column, leading_seven: bool = True) -> Column:
-    """Misread rupee signs before digits put right; a leading 7 may be one, too."""
+def repair_symbol(text: Column, leading_seven: bool = False) -> Column:
+    """Misread rupee signs before digits put right; with ``leading_seven`` a leading 7 counts as one, too."""
     s = F.regexp_replace(
         strip(text), r"^([+-]?)\s*(?:(?i:rs\.?|inr)|[Rr#＃买尐￥¥尺?¿*])\s*(\d)", "$1 ₹$2"
     )
@@ -204,7 +204,7 @@ def bare_number(text: Column) -> Column:
 
 
 def classify_amount(
-    text: Column, date_kind: Column, min_x: Column, cx: Column, cy: Column, width: Column, height: Column, leading_seven: bool = True
+    text: Column, date_kind: Column, min_x: Column, cx: Column, cy: Column, width: Column, height: Column, leading_seven: bool = False
 ) -> Column:
     """``struct(is_amount, minor, normalized, reason, has_currency, right_aligned)`` of a token.
 
@@ -255,9 +255,9 @@ def classify_amount(
     )
 
 
-def candidate_score(text: Column, confidence: Column) -> Column:
+def candidate_score(text: Column, confidence: Column, leading_seven: bool = False) -> Column:
     """Rank of one reading among others of the same region."""
-    n = repair_symbol(text)
+    n = repair_symbol(text, leading_seven)
     number = strip(F.regexp_replace(n, r"(?i)^[₹$+\-\s]+|[₹$]|inr|rs\.?", ""))
     marked = text.contains("₹") | text.contains("Rs") | text.contains("INR")
     foreign = F.regexp_replace(text, "[买尐￥¥尺]", "").rlike("[一-鿿]")

@@ -181,10 +181,11 @@ def bulk_confirm(batches: DataFrame, rows: DataFrame, as_of: datetime) -> tuple[
 
 
 def union_batches(documents: DataFrame) -> DataFrame:
-    """Rows of several nested batches as one review set."""
-    return documents.select(
-        F.col("id").alias("batch_id"), "created_at", F.posexplode("transactions").alias("pos", "t")
-    ).select("batch_id", "created_at", "pos", "t.*")
+    """Rows of several nested batches as one review set, in their places of the batch."""
+    rows = documents.select(
+        F.col("id").alias("batch_id"), "created_at", F.posexplode("transactions").alias("_place", "t")
+    ).select("batch_id", "created_at", "_place", "t.*")
+    return rows.withColumn("pos", F.coalesce("pos", F.col("_place").cast("long"))).drop("_place")
 
 
 def union_paths(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -4,47 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_KEYS = 1024
-SALTS = 64
+#: Rows that one task may hold of a key.
 HOT_ROWS = 100_000
 
 
-def hot_keys(
-    counts: DataFrame, keys: list[str], limit: int = HOT_KEYS, min_rows: int = HOT_ROWS, count: str = "n"
-) -> DataFrame:
-    """At most ``limit`` keys with the most rows: a frame of proven size, safe to broadcast.
-
-    Any key that holds more than 1/``limit`` of all rows is among them.
-    """
-    ranked = counts.where(F.col(count) >= min_rows).orderBy(F.desc(count), *keys).limit(limit)
-    return ranked.select(*keys, F.lit(True).alias("_hot"))
-
-
 def salted_left_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     counts: DataFrame | None = None,
-    salts: int = SALTS,
     min_rows: int = HOT_ROWS,
     spread: list[str] | None = None,
 ) -> DataFrame:
     """``left`` with the columns of ``right``, which has one row per key.
 
-    Rows of hot keys are spread over ``salts`` partitions by a hash of
-    ``spread`` (all left columns by default); only the right rows of those few
-    keys are repeated. Results are the same as of a plain left join.
+    A key with more than ``min_rows`` left rows is spread over as many salts as
+    it takes for each to hold ``min_rows``, by a hash of ``spread`` (all left
+    columns by default); its right row is repeated as often. Any number of keys
+    can be hot. Results are the same as of a plain left join.
     """
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(hot_keys(counts, keys, min_rows=min_rows))
+    hot = counts.where(F.col("n") > min_rows).select(*keys, F.ceil(F.col("n") / min_rows).cast("int").alias("_salts"))
     spread = spread or left.columns
     salted = left.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
+        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"), F.lit(0))
     )
     repeated = right.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     )
-    return salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"], "left").drop("_salt")
+    return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], "left").drop("_salt")

@@ -64,7 +64,7 @@ def token_text() -> Column:
     return F.coalesce(F.nullif("text_normalized", F.lit("")), F.col("text"))
 
 
-def split_combined(df: DataFrame, leading_seven: bool = True) -> DataFrame:
+def split_combined(df: DataFrame, leading_seven: bool = False) -> DataFrame:
     """Tokens that hold a name and an amount become two; the box is cut at the text ratio."""
     text = strip(token_text())
     none = F.lit(None).cast("double")
@@ -152,7 +152,7 @@ def with_image_facts(df: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def classify(df: DataFrame, leading_seven: bool = True) -> DataFrame:
+def classify(df: DataFrame, leading_seven: bool = False) -> DataFrame:
     """Adds token type, label and amount. Expects the image facts on each row."""
 
     def amount_of(x: Column) -> Column:
@@ -531,7 +531,7 @@ def line_text(words: Column) -> Column:
     return let(words, join)
 
 
-def prepare(df: DataFrame, leading_seven: bool = True) -> DataFrame:
+def prepare(df: DataFrame, leading_seven: bool = False) -> DataFrame:
     """Split, classified tokens with image facts, written once for the passes that follow."""
     split = split_combined(df, leading_seven)
     facts = image_facts(split)
@@ -556,7 +556,7 @@ def layout_class(classified: DataFrame) -> DataFrame:
     )
 
 
-def token_candidates(df: DataFrame, leading_seven: bool = True) -> DataFrame:
+def token_candidates(df: DataFrame, leading_seven: bool = False) -> DataFrame:
     """Candidates of all images: receipts where the layout says so and an amount is found, else lists."""
     classified = prepare(df, leading_seven)
     layout = layout_class(classified)

@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local runs and tests) a temporary folder is taken and set for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session that runs in one
+    process (tests, the bench) may go without: it takes a temporary folder. On a
+    cluster a missing setting is an error, as executors do not share local disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -26,16 +29,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spreads rows that come from fewer files than the session has slots.
-
-    A small file is one split and so one task; work that is heavy per row then
-    uses one core. Tables of many files, as on a cluster, pass through as they are.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
-
-
 def local_session(app: str = "passbook", cores: int | str = "*", **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     builder = (
@@ -45,6 +38,8 @@ def local_session(app: str = "passbook", cores: int | str = "*", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():

@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from passbook.functions.times import at
 from passbook.schema import LEDGER
+from passbook.session import scratch_path
 
 MONTH = "month"
 
@@ -59,14 +60,23 @@ def key_clashes(df: DataFrame, target: DataFrame | None) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, exists: bool = True) -> None:
-    """Adds rows; a repeated or known id is an error, no rows are no change."""
-    if df.isEmpty():
-        return
-    target = read_ledger(df.sparkSession, path) if exists else None
-    clash = key_clashes(df, target).first()
+    """Adds rows; a repeated or known id is an error, no rows are no change.
+
+    The rows are worked out once, into a staging table; tests and the append read that.
+    """
+    spark = df.sparkSession
+    staged = _staged(df)
+    clash = key_clashes(staged, read_ledger(spark, path) if exists else None).first()
     if clash is not None:
         raise ValueError(f"id already in the ledger: {clash['id']}")
-    write_ledger(df, path, mode="append")
+    if not staged.isEmpty():
+        write_ledger(staged, path, mode="append")
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "ledger")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def replace(ledger: DataFrame, changes: DataFrame) -> DataFrame:
@@ -81,5 +91,48 @@ def delete(ledger: DataFrame, ids: DataFrame) -> DataFrame:
     return ledger.join(ids.select("id"), "id", "left_anti")
 
 
+def _rewrite(spark: SparkSession, path: str, new: DataFrame, months: list[str]) -> None:
+    """Puts new rows in place of whole months; all other months stay untouched."""
+    staged = _staged(new)
+    filled = {r[MONTH] for r in staged.select(_month().alias(MONTH)).distinct().collect()}
+    part = F.pmod(F.xxhash64("id"), F.lit(8))
+    rows = staged.withColumn(MONTH, _month()).repartition(F.col(MONTH), part).sortWithinPartitions(MONTH, "date")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    for month in sorted(set(months) - filled):
+        spark.createDataFrame([], LEDGER).write.mode("overwrite").parquet(f"{path}/{MONTH}={month}")
+
+
+def _months(*frames: DataFrame) -> list[str]:
+    """The months of frames; their number is that of months in a ledger, not of its rows."""
+    found: set[str] = set()
+    for frame in frames:
+        found |= {r[MONTH] for r in frame.select(_month().alias(MONTH)).distinct().collect()}
+    return sorted(found)
+
+
+def _only(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
+    schema = StructType(LEDGER.fields + [StructField(MONTH, StringType())])
+    return spark.read.schema(schema).parquet(path).where(F.col(MONTH).isin(months)).drop(MONTH)
+
+
+def replace_rows(spark: SparkSession, path: str, changes: DataFrame) -> None:
+    """Replaces stored rows by changes of the same id; rewrites only the months of either."""
+    ledger, changes = read_ledger(spark, path), _staged(changes)
+    old = ledger.join(changes.select("id"), "id", "left_semi")
+    known = changes.join(ledger.select("id"), "id", "left_semi").select(*LEDGER.fieldNames())
+    months = _months(old, known)
+    if months:
+        kept = _only(spark, path, months).join(changes.select("id"), "id", "left_anti")
+        _rewrite(spark, path, kept.select(*LEDGER.fieldNames()).unionByName(known), months)
+
+
+def delete_rows(spark: SparkSession, path: str, ids: DataFrame) -> None:
+    """Deletes stored rows; rewrites only the months that hold them."""
+    ids = _staged(ids.select("id"))
+    months = _months(read_ledger(spark, path).join(ids, "id", "left_semi"))
+    if months:
+        _rewrite(spark, path, delete(_only(spark, path, months), ids), months)
+
+
 def clear(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], LEDGER).withColumn(MONTH, _month()).write.mode("overwrite").partitionBy(MONTH).parquet(path)

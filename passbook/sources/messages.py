@@ -7,17 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from passbook.functions.text import blank
 from passbook.schema import SMS
 
-DEFAULT_LIMIT = 500
-UNLIMITED = 2500
+# What the phone inbox scans, with and without a limit of its own.
+PHONE_LIMIT = 500
+PHONE_MOST = 2500
 
 # File endings and prefixes that count as an image.
 IMAGE_ENDINGS = ("png", "jpg", "jpeg", "webp")
 IMAGE_PREFIXES = ("blob:", "data:")
 
 
-def recent_sms(df: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The newest messages; a limit that is not positive means 2500."""
-    return df.orderBy(F.desc("ts"), "sms_id").limit(limit if limit > 0 else UNLIMITED)
+def recent_sms(df: DataFrame, limit: int | None) -> DataFrame:
+    """The newest messages; None keeps all of them. The phone's own limits are named above."""
+    if limit is None:
+        return df
+    if limit <= 0:
+        raise ValueError("a limit is positive, or None for all messages")
+    return df.orderBy(F.desc("ts"), "sms_id").limit(limit)
 
 
 def stream_sms(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passbook.fixed_values import SOURCES, TYPES
-from passbook.operators.inbox import STATES
+from passbook.operators.inbox import STATES, union_batches
 from passbook.operators.skew import salted_left_join
 from passbook.schema import PENDING
 from passbook.sources.exports import iso
@@ -38,11 +38,16 @@ def _transaction(t: Column) -> Column:
         .when(t["source"].isin(*SOURCES), t["source"])
         .otherwise("manual")
         .alias("source"),
+        t["pos"].alias("pos"),
     )
 
 
 def read_pending(spark: SparkSession, path: str, one_array_per_file: bool = False) -> DataFrame:
-    """Documents with typed fields; empty or unreadable files give no rows."""
+    """Documents with typed fields; empty or unreadable files give no rows.
+
+    A large batch stands in several documents of one id, numbered by ``part``;
+    ``read_batches`` gives one row per batch.
+    """
     raw = spark.read.schema(PENDING).option("multiLine", one_array_per_file).json(path)
     return raw.where(F.col("id").isNotNull()).select(
         "id",
@@ -55,9 +60,23 @@ def read_pending(spark: SparkSession, path: str, one_array_per_file: bool = Fals
         ).alias("transactions"),
         F.col("errorMessage").alias("error_message"),
         F.coalesce("source", F.lit("Shared from another app")).alias("source"),
+        F.coalesce("part", F.lit(0).cast("long")).alias("part"),
     )
 
 
+def headers(docs: DataFrame) -> DataFrame:
+    """One row per batch, whatever the number of its documents; the first part's fields hold."""
+    fields = [c for c in docs.columns if c not in ("id", "part", "transactions")]
+    first = docs.groupBy("id").agg(F.min(F.struct("part", *fields)).alias("h"))
+    return first.select("id", *[F.col(f"h.{c}").alias(c) for c in fields])
+
+
+def read_batches(spark: SparkSession, path: str, one_array_per_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The inbox as two flat frames: one row per batch, and one per transaction in its original place."""
+    docs = read_pending(spark, path, one_array_per_file)
+    return headers(docs), union_batches(docs)
+
+
 def save_pending(current: DataFrame, new: DataFrame) -> DataFrame:
     """Batches of the same id are updated, others added."""
     return current.join(new.select("id"), "id", "left_anti").unionByName(new)
@@ -67,7 +86,8 @@ def documents(batches: DataFrame, rows: DataFrame, limit: int = DOCUMENT_ROWS) -
     """Nested documents of batches and their rows.
 
     A batch larger than ``limit`` is written as several documents of one id, so
-    no document (and no task) holds an unbounded batch; readers union them.
+    no document (and no task) holds an unbounded batch. Each transaction keeps its
+    place in the batch, and ``read_batches`` puts the parts together again.
     """
     tx = F.struct(
         "pos",
@@ -89,6 +109,7 @@ def documents(batches: DataFrame, rows: DataFrame, limit: int = DOCUMENT_ROWS) -
             F.col("duplicate_source").alias("duplicateSource"),
             "note",
             "source",
+            "pos",
         ).alias("t"),
     )
     sizes = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
@@ -100,7 +121,7 @@ def documents(batches: DataFrame, rows: DataFrame, limit: int = DOCUMENT_ROWS) -
         F.transform(F.array_sort(F.collect_list(tx)), lambda x: x["t"]).alias("extractedTransactions")
     )
     return (
-        batches.join(nested.drop("part"), "id", "left")
+        batches.join(nested, "id", "left")
         .select(
             "id",
             F.col("paths").alias("imagePaths"),
@@ -108,6 +129,7 @@ def documents(batches: DataFrame, rows: DataFrame, limit: int = DOCUMENT_ROWS) -
             "status",
             "extractedTransactions",
             "source",
+            "part",
         )
     )
 

@@ -20,8 +20,13 @@ REJECTED = ["16:48", "08:56?", "8:30 AM", "7September", "04 Sept", "2September20
 def test_amount_texts(spark):
     df = spark.createDataFrame([(x,) for x in [*ACCEPTED, *REJECTED]], "x string")
     place = [F.lit(v) for v in (399.0, 420.0, 500.0, 462.0, 1024.0)]
-    out = df.select("x", rules.classify_amount(F.col("x"), rules.date_kind(F.col("x")), *place).alias("a")).collect()
+    out = df.select("x", rules.classify_amount(F.col("x"), rules.date_kind(F.col("x")), *place, True).alias("a")).collect()
     assert {r.x: r.a.minor for r in out if r.a.is_amount} == ACCEPTED
+    out = df.select("x", rules.classify_amount(F.col("x"), rules.date_kind(F.col("x")), *place).alias("a")).collect()
+    plain = {r.x: r.a.minor for r in out if r.a.is_amount}
+    assert (plain["75,000"], plain["7205"]) == (7500000, 720500)
+    line = df.select("x", line_rules.line_amount(F.col("x")).alias("a")).where("x = '75,000'").first().a
+    assert line.minor == 7500000
 
 
 def test_single_digit_at_the_left_is_no_amount(spark):
