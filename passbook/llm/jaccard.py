@@ -36,7 +36,7 @@ SHINGLE, PERCENT, EXTRA = 5, 75, 10
 #: Hashes that break ties in the orders of step 3.
 SALTS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A99, 0xD1342543DE82EF95)
 #: Characters of text folded at once, documents of a chunk, bytes of text per range, tokens of a tile.
-CHUNK_CHARS, CHUNK_DOCS, RANGE_BYTES, TILE = 8 << 20, 60_000, 16 << 20, 1 << 19
+CHUNK_CHARS, CHUNK_DOCS, RANGE_BYTES, TILE = 8 << 20, 60_000, 16 << 20, 1 << 16
 MANY = 0xFFFF
 PACKED = "part int, chunk long, kind int, docs binary, data binary"
 FACT = np.dtype([("id", "i8"), ("none", "u1"), ("k1", "i8"), ("k2", "i8"), ("n", "i4"), ("shared", "i4")])
