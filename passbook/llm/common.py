@@ -16,10 +16,12 @@ _fallback: dict[str, str] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session has none, as in tests, one temporary folder is taken.
+    Only a session within one process, as in tests, may have none; it takes a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _fallback.setdefault("root", tempfile.mkdtemp(prefix="spark-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
