@@ -13,8 +13,8 @@ Nyström features, and as the kernel has explicit features it folds into one wei
 A document's evidence is its best and second best word and the sum over all its words above 0; a
 logistic calibration on labelled rows of the training fold makes the score of it.
 
-Statistics cover all labelled rows; what is fitted on is bounded by WITNESSES, OTHERS, HARD and
-CALIBRATION.
+What is fitted on is bounded: FIT_ROWS labelled rows, chosen by a hash of their id; of their words
+WITNESSES, OTHERS and HARD; CALIBRATION rows for the last step. Every row is scored.
 
 Null text counts as empty and scores by the calibration alone. A null id is never held out nor
 labelled. Several labels of one id count as toxic if one does. Repeated rows repeat. Extra columns are
@@ -40,6 +40,8 @@ LETTERS, SPAN, DECAY = 4, 6, 0.7
 SURE = 50.0
 #: Longest piece of a word that is scored at once; longer words are scored in overlapping pieces.
 PIECE = 24
+#: Labelled rows fitted on: a sample of bounded size, so it can be broadcast and no text moves to meet it.
+FIT_ROWS = 30_000
 #: Words fitted on: witnesses, other words, hard words added per round; rounds; landmarks; SVM cost.
 WITNESSES, OTHERS, HARD, ROUNDS, LANDMARKS, COST = 3000, 20_000, 4000, 2, 160, 10.0
 #: Scores are kept within LIMIT; words below FLOOR are no evidence; labelled rows that calibration is fitted on.
@@ -206,9 +208,10 @@ def fit(toxic: list[tuple[str, float, float]], clean: list[tuple[str, float]]) -
 
 
 def labelled_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sentence, toxic) of the training fold, each different sentence once."""
+    """(sentence, toxic) of the fitted rows of the training fold, each different sentence once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(~held_out())
-    rows = rows.join(_marked(labels), "doc_id").select("text", "toxic")
+    sample = _marked(labels).where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    rows = rows.join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
