@@ -152,12 +152,12 @@ def _(t):
 
 # Rows of active batches whose date is known stand in the inbox already.
 PENDING_FPS = f"""select distinct {FP} as fp from candidates where date is not null
-      and batch_id in (select id from batches where status not in ('completed', 'discarded') and status = 'failed')"""
+      and batch_id in (select id from batches where status not in ('completed', 'discarded'))"""
 
 
 def waiting(t):
-    failed = t.batches.where("status = 'failed'").select(F.col("id").alias("batch_id"))
-    return candidates(t).where("date is not null").join(failed, "batch_id", "left_semi")
+    open_ = inbox.active(t.batches).select(F.col("id").alias("batch_id"))
+    return candidates(t).where("date is not null").join(open_, "batch_id", "left_semi")
 
 
 @query(

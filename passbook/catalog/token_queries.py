@@ -310,14 +310,19 @@ def _(t):
     return found.select("image_id", F.col("amount_minor_units").alias("minor"), "merchant_text")
 
 
+def _of_class(t, layout):
+    """Classified tokens of all images that were recognised as lists or as receipts."""
+    read = classified(t)
+    return read.join(tokens.layout_class(read).where(F.col("layout") == layout).select("image_id"), "image_id", "left_semi")
+
+
 @query(
     "win_nearest_date",
     "select image as image_id, rn, case when has_date then day end as date_text from shown",
     "shown",
 )
 def _(t):
-    screens = classified(t).where("image_id not like 'r%'")
-    found = tokens.list_candidates(screens)
+    found = tokens.list_candidates(_of_class(t, "list"))
     return found.select("image_id", F.floor(F.col("pos") / 20).alias("rn"), "date_text")
 
 
@@ -326,7 +331,7 @@ def _(t):
     f"select image_id, minor, 'receipt' as layout from ({_RECEIPT}) r",
 )
 def _(t):
-    found = tokens.receipt_candidates(classified(t).where("image_id like 'r%'"))
+    found = tokens.receipt_candidates(_of_class(t, "receipt"))
     return found.select("image_id", F.col("amount_minor_units").alias("minor"), "layout")
 
 
