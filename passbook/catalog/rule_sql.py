@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from passbook.fixed_values import EXPENSE_KEYWORDS, INCOME_KEYWORDS, words
+from passbook.fixed_values import EXPENSE_KEYWORDS, INCOME_KEYWORDS
 
 
 def _hit(text: str, keyword: str) -> str:
@@ -17,7 +17,7 @@ def _hit(text: str, keyword: str) -> str:
 def category_sql(text: str, kind: str = "type") -> str:
     def chain(rules: dict[str, str]) -> str:
         whens = " ".join(
-            "when " + " or ".join(_hit(text, k) for k in words(line)) + f" then '{name}'" for name, line in rules.items()
+            "when " + " or ".join(_hit(text, k) for k in line) + f" then '{name}'" for name, line in rules.items()
         )
         return f"case {whens} end"
 
@@ -26,7 +26,7 @@ def category_sql(text: str, kind: str = "type") -> str:
 
 def keyword_sql(text: str, kind: str = "type") -> str:
     def chain(rules: dict[str, str]) -> str:
-        whens = " ".join(f"when {_hit(text, k)} then '{k}'" for line in rules.values() for k in words(line))
+        whens = " ".join(f"when {_hit(text, k)} then '{k}'" for line in rules.values() for k in line)
         return f"case {whens} end"
 
     return f"case when {kind} = 'income' then {chain(INCOME_KEYWORDS)} else {chain(EXPENSE_KEYWORDS)} end"

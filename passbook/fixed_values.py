@@ -34,33 +34,63 @@ INCOME_CATEGORIES = {
 
 # Category keywords of expenses.
 EXPENSE_KEYWORDS = {
-    "food": "swiggy, zomato, restaurant, hotel, cafe, coffee, tea, chai, bakery, mcdonald, starbucks, "
-    "kfc, burger, pizza, domino, subway, food, dining, eatery, dhaba, kitchen, biryani, sweets, bar, "
-    "pub, bistro, snacks, canteen",
-    "transport": "uber, ola, rapido, metro, fuel, petrol, diesel, hpcl, bpcl, ioc, indian oil, auto, cab, "
-    "taxi, toll, fastag, parking, railway, irctc, bus, redbus, transport",
-    "shopping": "amazon, flipkart, myntra, meesho, ajio, blinkit, zepto, instamart, bigbasket, supermarket, "
-    "mart, mall, store, retail, grocery, apparel, clothing, fashion, shopping, decathlon, zara, h&m",
-    "bills": "electricity, bescom, tneb, water, wifi, broadband, recharge, airtel, jio, vi, vodafone, gas, "
-    "cylinder, bill, utility, rent, maintenance, dth, tata play, insurance, lic",
-    "entertainment": "netflix, spotify, prime, hotstar, disney, youtube, movie, cinema, pvr, inox, "
-    "bookmyshow, games, playstation, steam, theatre, concert",
-    "health": "pharmacy, hospital, clinic, medicine, medical, doctor, apollo, 1mg, pharmeasy, medplus, lab, "
-    "dental, health, diagnostic, therapy, opticals",
-    "education": "school, college, tuition, course, books, fees, university, udemy, coursera, training, "
-    "exam, academy, class",
-    "travel": "flight, airline, indigo, air india, hotel, makemytrip, mmt, booking.com, agoda, resort, trip, "
-    "vacation, tour, airbnb",
-    "personal": "salon, spa, haircut, parlour, beauty, cosmetics, nykaa, grooming, personal, massage",
+    "food": (
+        "swiggy", "zomato", "restaurant", "hotel", "cafe", "coffee", "tea", "chai", "bakery", "mcdonald",
+        "starbucks", "kfc", "burger", "pizza", "domino", "subway", "food", "dining", "eatery", "dhaba", "kitchen",
+        "biryani", "sweets", "bar", "pub", "bistro", "snacks", "canteen",
+    ),
+    "transport": (
+        "uber", "ola", "rapido", "metro", "fuel", "petrol", "diesel", "hpcl", "bpcl", "ioc", "indian oil", "auto",
+        "cab", "taxi", "toll", "fastag", "parking", "railway", "irctc", "bus", "redbus", "transport",
+    ),
+    "shopping": (
+        "amazon", "flipkart", "myntra", "meesho", "ajio", "blinkit", "zepto", "instamart", "bigbasket",
+        "supermarket", "mart", "mall", "store", "retail", "grocery", "apparel", "clothing", "fashion", "shopping",
+        "decathlon", "zara", "h&m",
+    ),
+    "bills": (
+        "electricity", "bescom", "tneb", "water", "wifi", "broadband", "recharge", "airtel", "jio", "vi", "vodafone",
+        "gas", "cylinder", "bill", "utility", "rent", "maintenance", "dth", "tata play", "insurance", "lic",
+    ),
+    "entertainment": (
+        "netflix", "spotify", "prime", "hotstar", "disney", "youtube", "movie", "cinema", "pvr", "inox",
+        "bookmyshow", "games", "playstation", "steam", "theatre", "concert",
+    ),
+    "health": (
+        "pharmacy", "hospital", "clinic", "medicine", "medical", "doctor", "apollo", "1mg", "pharmeasy", "medplus",
+        "lab", "dental", "health", "diagnostic", "therapy", "opticals",
+    ),
+    "education": (
+        "school", "college", "tuition", "course", "books", "fees", "university", "udemy", "coursera", "training",
+        "exam", "academy", "class",
+    ),
+    "travel": (
+        "flight", "airline", "indigo", "air india", "hotel", "makemytrip", "mmt", "booking.com", "agoda", "resort",
+        "trip", "vacation", "tour", "airbnb",
+    ),
+    "personal": (
+        "salon", "spa", "haircut", "parlour", "beauty", "cosmetics", "nykaa", "grooming", "personal", "massage",
+    ),
 }
 
 # Category keywords of income.
 INCOME_KEYWORDS = {
-    "salary": "salary, payroll, wage, stipend, bonus, earnings, employer, payout",
-    "freelance": "freelance, client, consulting, contract, upwork, fiverr, gig",
-    "business": "revenue, sales, customer, invoice, vendor, merchant payment, business, settlement",
-    "investment": "dividend, interest, stock, zerodha, groww, mutual fund, crypto, returns, deposit, fd, rd",
-    "gift": "gift, cashback, reward, prize, lottery, donation, received from",
+    "salary": (
+        "salary", "payroll", "wage", "stipend", "bonus", "earnings", "employer", "payout",
+    ),
+    "freelance": (
+        "freelance", "client", "consulting", "contract", "upwork", "fiverr", "gig",
+    ),
+    "business": (
+        "revenue", "sales", "customer", "invoice", "vendor", "merchant payment", "business", "settlement",
+    ),
+    "investment": (
+        "dividend", "interest", "stock", "zerodha", "groww", "mutual fund", "crypto", "returns", "deposit", "fd",
+        "rd",
+    ),
+    "gift": (
+        "gift", "cashback", "reward", "prize", "lottery", "donation", "received from",
+    ),
 }
 
 # Message sender codes, in match order.
@@ -225,8 +255,3 @@ LIKELY_ACTIONS = (
 )
 LIKELY_MARKS = ("rs", "inr", "₹", "usd", "eur")
 LIKELY_OTP = ("otp", "verification code", "secret code", "one time password", "do not share")
-
-
-def words(text: str) -> list[str]:
-    """Split one comma-separated keyword line."""
-    return [w.strip() for w in text.split(",")]

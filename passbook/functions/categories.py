@@ -9,7 +9,6 @@ from passbook.fixed_values import (
     EXPENSE_KEYWORDS,
     INCOME_CATEGORIES,
     INCOME_KEYWORDS,
-    words,
 )
 from passbook.functions.text import let
 
@@ -53,13 +52,13 @@ def rule_tokens(text: Column) -> Column:
     are one hash intersection instead of a regular expression per category.
     """
     rules = (EXPENSE_KEYWORDS, INCOME_KEYWORDS)
-    phrases = F.array(*[F.lit(k) for r in rules for line in r.values() for k in words(line) if is_phrase(k)])
+    phrases = F.array(*[F.lit(k) for r in rules for line in r.values() for k in line if is_phrase(k)])
     return let(text, lambda x: F.concat(F.split(x, "[^a-z0-9_]+"), F.filter(phrases, lambda p: F.contains(x, p))))
 
 
 def _first_keyword(tokens: Column, rules: dict[str, str]) -> Column:
     """First keyword in rule order: an intersection keeps the order of its left side."""
-    ordered = list(dict.fromkeys(k for line in rules.values() for k in words(line)))
+    ordered = list(dict.fromkeys(k for line in rules.values() for k in line))
     return F.try_element_at(F.array_intersect(F.array(*[F.lit(k) for k in ordered]), tokens), F.lit(1))
 
 
@@ -76,7 +75,7 @@ def category_of_keyword(kind: Column, keyword: Column) -> Column:
     def owner(rules: dict[str, str]) -> Column:
         owners: dict[str, str] = {}
         for category, line in rules.items():
-            for k in words(line):
+            for k in line:
                 owners.setdefault(k, category)
         return F.try_element_at(_constant_map(owners), keyword)
 

@@ -93,15 +93,17 @@ OWN_ACCOUNT_PHRASES = (
 )
 OWN_ACCOUNT_WORDS = ("card", "account", "a/c", "acct")
 DISCLAIMER_PHRASES = ("block", "dispute", "report", "not you", "call ", "sms ")
-GENERIC_WORDS = (
-    "your, account, bank, the, rs, inr, ref, avl, bal, credit, debit, card, upi, transfer, via, using, no, neft, imps, "
-    "rtgs, cash, atm, pos, branch, limit, message"
-).split(", ")
+GENERIC_WORDS = [
+    "your", "account", "bank", "the", "rs", "inr", "ref", "avl", "bal", "credit", "debit", "card", "upi", "transfer",
+    "via", "using", "no", "neft", "imps", "rtgs", "cash", "atm", "pos", "branch", "limit", "message",
+]
 SNIPPET_REJECTS = ("block", "call ", "report", "fraud", "not you", "if not")
 
 NUMERIC_DATE = r"(?<![A-Za-z0-9_])(\d{1,2})[-/](\d{1,2})[-/](\d{2,4})(?![A-Za-z0-9_])"
 NAMED_DATE = r"(?<![A-Za-z0-9_])(\d{1,2})[-/\s]([A-Za-z]{3})[-/\s](\d{2,4})(?![A-Za-z0-9_])"
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTHS = [
+    "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec",
+]
 
 
 # ---- filters -------------------------------------------------------------------------------

@@ -10,9 +10,10 @@ from passbook.functions.messages import minor_from_text, rolled_date
 from passbook.functions.text import EDGE, END, contains_any, let, no_blanks, strip
 from passbook.functions.times import at
 
-MONTH_NAMES = (
-    "january february march april may june july august september october november december"
-).split()
+MONTH_NAMES = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+    "december",
+]
 _MON = "jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec"
 _CLOCK = r"\d{1,2}:\d{2}(?:\s*[ap]m)?"
 
@@ -175,11 +176,12 @@ def date_confidence(text: Column) -> Column:
 
 # ---- amounts -------------------------------------------------------------------------------
 
-UI_LABELS = (
-    "searchtransactions, status, paymentmethod, date, amount, amo, search, filter, all, today, yesterday, coinsredeemed, "
-    "viewhistory, payagain, sharereceipt, debitedfrom, checkbalance, paymentlocation, openmaps, upitransactionid, "
-    "transactionid, referencenumber, investment, explore, insurance, history, help, viaupi, receivedin, upiintent"
-).split(", ")
+UI_LABELS = [
+    "searchtransactions", "status", "paymentmethod", "date", "amount", "amo", "search", "filter", "all", "today",
+    "yesterday", "coinsredeemed", "viewhistory", "payagain", "sharereceipt", "debitedfrom", "checkbalance",
+    "paymentlocation", "openmaps", "upitransactionid", "transactionid", "referencenumber", "investment", "explore",
+    "insurance", "history", "help", "viaupi", "receivedin", "upiintent",
+]
 REWARD_WORDS = ("coins", "redeemed", "youvewon", "you'vewon", "checknow")
 ACCOUNT_SUFFIX = r"(?i)^(?:.*-\s*|\*{2,}|x{2,})\d{3,5}$"
 MISREAD = r"[买尐￥¥尺¿?]"
@@ -322,14 +324,14 @@ PERSON = r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+$"
 ENTITY_TERMS = (
     "store|cafe|petrol|pump|mart|shop|tech|solutions|service|services|hospital|clinic|bakery|restaurant|dhaba|tea|chai"
 )
-NAVIGATION_WORDS = (
-    "back, home, settings, help, close, menu, search, filter, all, share, done, openmaps, payagain, sharereceipt, "
-    "checkbalance, viewhistory, history, explore, searchtransactions"
-).split(", ")
-PROMOTION_WORDS = (
-    "cashback, reward, rewards, points, coins, coin, scratchcard, youvewon, you'vewon, checknow, redeemed, discount, "
-    "coupon, offer, offers"
-).split(", ")
+NAVIGATION_WORDS = [
+    "back", "home", "settings", "help", "close", "menu", "search", "filter", "all", "share", "done", "openmaps",
+    "payagain", "sharereceipt", "checkbalance", "viewhistory", "history", "explore", "searchtransactions",
+]
+PROMOTION_WORDS = [
+    "cashback", "reward", "rewards", "points", "coins", "coin", "scratchcard", "youvewon", "you'vewon", "checknow",
+    "redeemed", "discount", "coupon", "offer", "offers",
+]
 DIRECTION_STARTS = (
     "paidto|paymentto|sentto|transferredto|debitedfrom|paidvia|receivedfrom|receivedin|creditedto"
 )

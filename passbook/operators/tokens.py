@@ -24,20 +24,23 @@ from passbook.session import scratch_path
 STRIPE = 512.0
 
 # Labels of the screen around the rows.
-UI_NOISE = (
-    "searchtransactions, status, paymentmethod, date, amount, amo, search, filter, all, transactionsuccessful, "
-    "paymentsuccessful, paidsuccessfully, paymentdetails, transactiondetails, transferdetails, viewdetails, completed, "
-    "successful, history, help, home, alerts, rewards, offers, coinsredeemed, viewhistory, payagain, sharereceipt, "
-    "debitedfrom, checkbalance, paymentlocation, openmaps, upitransactionid, transactionid, notesupiintent, upiintent, "
-    "youvewon, checknow, investment, explore, insurance, viaupi, receivedin"
-).split(", ")
-RECEIPT_MARKS = (
-    "transactionsuccessful, paymentsuccessful, paidsuccessfully, transferdetails, upitransactionid, transactionid, "
-    "paymentid, orderid, referencenumber, paidvia, notes:paidvia, notes:upiintent, upiintent"
-).split(", ")
-RECEIPT_HINTS = (
-    "payagain, splitexpense, sharereceipt, sendagain, bankingname, support, checkbalance, paymentlocation"
-).split(", ")
+UI_NOISE = [
+    "searchtransactions", "status", "paymentmethod", "date", "amount", "amo", "search", "filter", "all",
+    "transactionsuccessful", "paymentsuccessful", "paidsuccessfully", "paymentdetails", "transactiondetails",
+    "transferdetails", "viewdetails", "completed", "successful", "history", "help", "home", "alerts", "rewards",
+    "offers", "coinsredeemed", "viewhistory", "payagain", "sharereceipt", "debitedfrom", "checkbalance",
+    "paymentlocation", "openmaps", "upitransactionid", "transactionid", "notesupiintent", "upiintent", "youvewon",
+    "checknow", "investment", "explore", "insurance", "viaupi", "receivedin",
+]
+RECEIPT_MARKS = [
+    "transactionsuccessful", "paymentsuccessful", "paidsuccessfully", "transferdetails", "upitransactionid",
+    "transactionid", "paymentid", "orderid", "referencenumber", "paidvia", "notes:paidvia", "notes:upiintent",
+    "upiintent",
+]
+RECEIPT_HINTS = [
+    "payagain", "splitexpense", "sharereceipt", "sendagain", "bankingname", "support", "checkbalance",
+    "paymentlocation",
+]
 BOTTOM_LABELS = ("history", "home", "investment", "explore", "rewards", "settings")
 CUT_OFF_LABELS = ("history", "home", "investment", "explore", "insurance")
 NOISE_INSIDE = (".rzp", "rzp", "coinsredeemed", "youvewon", "you'vewon", "checknow")

@@ -28,8 +28,12 @@ PREVIOUS_WORD = {
 
 _MILLI = timedelta(milliseconds=1)
 _DAY = timedelta(days=1)
-_MONTH_NAMES = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
-_DAY_NAMES = "Mon Tue Wed Thu Fri Sat Sun".split()
+_MONTH_NAMES = [
+    "Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec",
+]
+_DAY_NAMES = [
+    "Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun",
+]
 
 
 def midnight(moment: datetime) -> datetime:
