@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.llm import words
-from passbook.llm.common import materialise, text_of, width
+from passbook.llm.common import Written, materialise, text_of, width
 from passbook.llm.components import components
 
 #: Shingle length in words; similarity in percent; share of a set (1 in EXTRA) that prefixes are longer by.
@@ -326,11 +326,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = F.ceil(F.col("n") * F.lit(PERCENT) / F.lit(100)).cast("int")
     wanted = classes.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(least / EXTRA).cast("int"))).select(F.col("rep").alias("id"), "k1", "k2", "size")
     chosen = source.where("not none").join(wanted, "id").select("id", "size", "k1", "k2", "text").dropDuplicates(["id", "k1", "k2", "text"])
-    sets = materialise(chosen.mapInPandas(_sets, "id long, size long, n int, tokens binary"), "jaccard-sets")
+    written = Written(chosen.mapInPandas(_sets, "id long, size long, n int, tokens binary"), "jaccard-sets")
+    sets = written.rows
 
     counted = sets.select("id", "tokens").mapInPandas(_all_tokens(parts), PACKED).groupBy("part").applyInPandas(_frequencies, "chunk long, kind int, data binary")
-    prefixes = materialise(counted.groupBy("chunk").applyInPandas(_orders, "order int, token long, id long"), "jaccard-prefixes")
-    compared = materialise(_tiles(_blocks(prefixes), sets, parts).groupBy("group").applyInPandas(_compare, "id long, other long, links long"), "jaccard-links")
+    prefixes = Written(counted.groupBy("chunk").applyInPandas(_orders, "order int, token long, id long"), "jaccard-prefixes")
+    compared = materialise(_tiles(_blocks(prefixes.rows), sets, parts).groupBy("group").applyInPandas(_compare, "id long, other long, links long"), "jaccard-links")
+    written.clear()
+    prefixes.clear()
     low = components(compared.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")), "jaccard")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
 
