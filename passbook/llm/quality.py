@@ -33,6 +33,7 @@ UPPER = bytes(range(65, 91))
 LETTER = UPPER + bytes(range(97, 123))
 DIGIT = b"0123456789"
 MARKS = b"!#$%&*@^~|_<>{}[]\\/=+"
+HIGH = bytes(range(128, 256))
 TEXT_FEATURES = 14
 
 
@@ -60,7 +61,7 @@ def text_features(text: str) -> tuple[float, ...]:
         repeats / n,
         len(set(lines)) / max(len(lines), 1),
         len(lines) / n,
-        sum(b > 127 for b in data[:: max(1, size // 512)]) * max(1, size // 512) / size,
+        without(HIGH) / size,
         max(map(len, words), default=0) / 16.0,
     )
 

@@ -43,6 +43,12 @@ def test_quality_held_out(spark):
     assert n[1, 1] >= 0.98 * (n[1, 1] + n[0, 1]) and n[0, 0] >= 0.85 * (n[0, 0] + n[1, 0])
 
 
+def test_all_bytes_of_long_texts_count():
+    text = ("abé" + "x" * 60) * 500  # 2 of 64 bytes are not ASCII, always at the same places of a stride
+    assert quality.text_features(text)[12] == 2 / 64
+    assert quality.text_features("x" * 5000 + "é" * 100)[12] == 200 / 5200
+
+
 @pytest.mark.parametrize("operator", [toxicity.toxicity, quality.quality])
 def test_classifiers_awkward(spark, operator):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
