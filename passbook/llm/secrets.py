@@ -3,7 +3,9 @@
 Base patterns give spans (assign, access, hex). Candidates in base64 or hexadecimal are then decoded
 and reported only if what they hold is built like a key: DER with lengths that nest exactly, a PEM
 block around such a body, an OpenSSH key with its length-prefixed fields, or a signed token whose
-header is a JSON object naming an algorithm.
+header is a JSON object naming an algorithm. Base64 may use either alphabet, be wrapped at line breaks
+(also written-out ones, as in JSON) and hold escaped slashes, plus and equals signs; what begins like a
+key is read as far as its own lengths say, and has to end there.
 
 Null text counts as empty; every row gives one row; repeated rows repeat. Spans count code points,
 end exclusive.
@@ -29,10 +31,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 # Shapes of candidates for decoding.
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\+(?:[nrt/]|u00(?:2[BbFf]|3[Dd])))+)-----END \1-----")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"(?:MI[A-P]|b3BlbnNzaC1rZXktdjE|AAAA[BCE])[A-Za-z0-9+/]{16,}={0,2}")
-HEXBODY = re.compile(r"(?:308[0-3]|30[0-7][0-9A-Fa-f])[0-9A-Fa-f]{28,}")
+# A sequence of a short length that begins with an integer or a sequence, or one of a long length; OpenSSH.
+START = re.compile(r"M(?:[A-H][AEIMQUYcgkosw048][Cw]|I[E-T])|b3BlbnNzaC1rZXktdjE|AAAA[B-K]")
+CHUNK = re.compile(r"(?:[A-Za-z0-9+/_]|-(?!----))+")
+BREAK = re.compile(r"(?:[ \t]*(?:[\r\n]|\\+[nr]))+[ \t]*")
+ESCAPE = re.compile(r"\\+(?:(/)|u00(2[BbDdFf]|5[Ff]|3[Dd]))")
+PADDING = re.compile(r"(?:=|\\+u003[Dd]|%3[Dd]){0,2}")
+STANDARD, URL = re.compile(r"[A-Za-z0-9+/]"), re.compile(r"[A-Za-z0-9_]|-(?!----)")
+TO_STANDARD = str.maketrans("-_", "+/")
+HEXBODY = re.compile(r"(?:308[0-4]|30[0-7][0-9A-Fa-f])[0-9A-Fa-f]{28,}")
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 OPENSSH = b"openssh-key-v1\x00"
 
@@ -120,6 +129,108 @@ def key_bytes(data: bytes) -> str | None:
     return "der" if der_key(data) else "ssh" if ssh_key(data) else None
 
 
+def unescaped(m: re.Match) -> str:
+    return m[1] or chr(int(m[2], 16))
+
+
+def taken(text: str, at: int, need: int) -> tuple[str, int]:
+    """So many base64 characters from a place on, line breaks left out, and the place behind them; fewer if the run ends."""
+    parts, n = [], 0
+    while n < need:
+        if m := CHUNK.match(text, at):
+            part = m[0][: need - n]
+            at += len(part)
+        elif (m := ESCAPE.match(text, at)) and unescaped(m) != "=":
+            part, at = unescaped(m), m.end()
+        elif n and (m := BREAK.match(text, at)):
+            part, at = "", m.end()
+        else:
+            break
+        parts.append(part)
+        n += len(part)
+    return "".join(parts), at
+
+
+def ends(text: str, at: int, url: bool) -> bool:
+    """Whether no character of the alphabet follows."""
+    m = ESCAPE.match(text, at)
+    return not (URL if url else STANDARD).match(unescaped(m) if m else text[at : at + 5])
+
+
+def openssh_length(data: bytes) -> int:
+    """Bytes of an OpenSSH key: three fields, a count, so many public keys and the private part; 0 if they are not all there."""
+    at, left = len(OPENSSH), 3
+    counted = False
+    while left:
+        if at + 4 > len(data):
+            return 0
+        size = int.from_bytes(data[at : at + 4], "big")
+        at, left = at + 4 + size, left - 1
+        if not left and not counted:
+            counted, left = True, int.from_bytes(data[at : at + 4], "big") + 1
+            at += 4
+    return at if at <= len(data) else 0
+
+
+def fields_end(data: bytes) -> bool:
+    """Whether two or more fields with four-byte lengths fill the bytes exactly."""
+    at, n = 0, 0
+    while at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        n += 1
+    return n >= 2 and at == len(data)
+
+
+def ssh_end(text: str, at: int) -> int:
+    """The end of an OpenSSH key in base64; 0 if there is none. A key that breaks off ends with its first line."""
+    run, stop = "", at
+    first = 0
+    while m := CHUNK.match(text, stop):
+        run, stop = run + m[0].translate(TO_STANDARD), m.end()
+        data = from_base64(run[: len(run) // 4 * 4 if len(run) % 4 == 1 else None])
+        if not first:
+            if not ssh_key(data):
+                return 0
+            first = stop
+        if data.startswith(OPENSSH):
+            if size := openssh_length(data):
+                return taken(text, at, -(-size * 4 // 3))[1]
+        elif fields_end(data):
+            return stop
+        while m := ESCAPE.match(text, stop):
+            if unescaped(m) == "=":
+                break
+            run, stop = run + unescaped(m).translate(TO_STANDARD), m.end()
+        if m := BREAK.match(text, stop):
+            stop = m.end()
+        elif not CHUNK.match(text, stop):
+            break
+    return first
+
+
+def key_spans(text: str) -> list[tuple[int, int, int]]:
+    """Spans of base64 that hold a key. Every place where one could begin is tried."""
+    out, at = [], 0
+    while m := START.search(text, at):
+        at = m.start() + 1
+        if m[0][0] != "M":
+            end, kind = ssh_end(text, m.start()), "ssh"
+        else:
+            end, kind = 0, "der"
+            head = from_base64(taken(text, m.start(), 24)[0].translate(TO_STANDARD)[:24])
+            if len(head) >= 16 and head[_head(head)] in (0x02, 0x30):
+                size = _outer(head)
+                chars, stop = taken(text, m.start(), -(-size * 4 // 3)) if size <= len(text) else ("", 0)
+                data = from_base64(chars.translate(TO_STANDARD))
+                if len(data) == size and ends(text, stop, "-" in chars or "_" in chars) and der_key(data):
+                    end = stop
+        if end:
+            end = PADDING.match(text, end).end()
+            out.append((m.start(), KINDS.index(kind), end))
+            at = end
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base kinds, failing matches dropped after they were consumed."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -132,13 +243,13 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans whose decoded content has the structure of a key or a signed token."""
     out = []
     if "-----BEGIN " in text:
-        out += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if key_bytes(from_base64(re.sub(r"\s", "", m[2])))]
+        out += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if key_bytes(from_base64(re.sub(r"\s|\\+[nrt]", "", ESCAPE.sub(unescaped, m[2]))))]
     if "eyJ" in text:
         out += [(m.start(), 6, m.end()) for m in SIGNED.finditer(text) if signed_header(m[0])]
-    for pattern, decode in ((BASE64, from_base64), (HEXBODY, lambda t: bytes.fromhex(t[: len(t) // 2 * 2]))):
-        for m in pattern.finditer(text):
-            if kind := key_bytes(decode(m[0])):
-                out.append((m.start(), KINDS.index(kind), m.end()))
+    out += key_spans(text)
+    for m in HEXBODY.finditer(text):
+        if kind := key_bytes(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
+            out.append((m.start(), KINDS.index(kind), m.end()))
     return sorted(set(out))
 
 
