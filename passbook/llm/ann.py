@@ -4,7 +4,8 @@ Different vectors are dealt into shards of bounded size by a hash. Each shard bu
 are inserted in batches, a greedy beam search on the graph so far proposes neighbours, and relaxed
 distance pruning keeps an edge only if no kept neighbour is ALPHA times closer to its end; reverse
 edges are pruned alike. Queries visit every shard in blocks by beam search and the best of all shards
-win. Scores are cosines of the original vectors in double precision.
+win. All distances are in double precision, as single precision cannot order near copies; the whole
+beam of a shard is scored by cosines of the original vectors.
 
 Equal vectors are one point that carries its smallest ids, so copies cost nothing and ties go to the
 smallest ids. Vectors that are null, empty, zero or hold null or non-finite components take no part;
@@ -35,7 +36,7 @@ def beam_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, start:
     rows = np.arange(len(queries))[:, None]
     start = start[: min(beam, len(start))]
     ids = np.full((len(queries), beam), -1)
-    far = np.full((len(queries), beam), np.inf, np.float32)
+    far = np.full((len(queries), beam), np.inf)
     ids[:, : len(start)] = start
     far[:, : len(start)] = 2 - 2 * queries @ unit[start].T
     order = np.argsort(far, axis=1, kind="stable")
@@ -120,9 +121,9 @@ def _norms(x: np.ndarray) -> np.ndarray:
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
-    """Unit vectors in single precision, whatever the size of the components."""
+    """Unit vectors in double precision, whatever the size of the components."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return (x / _norms(x)[:, None]).astype(np.float32)
+    return x / _norms(x)[:, None]
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,7 +155,6 @@ def _search(beam: int, top: int):
             edges = np.frombuffer(bytes(graph), np.int32).reshape(len(base), -1)
             for a in range(0, len(ask), 256):
                 found, _ = beam_search(unit, edges, _scaled(ask[a : a + 256]), np.frombuffer(bytes(start), np.int32), beam)
-                found = found[:, : 2 * top]
                 for q, row, vector in zip(own["qid"].iloc[a : a + 256].tolist(), found, ask[a : a + 256], strict=True):
                     row = row[row >= 0]
                     score = cosines(base[row], vector[None, :])

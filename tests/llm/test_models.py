@@ -80,6 +80,23 @@ def test_neighbours(spark):
     assert {r.query_id for r in found} == set(range(0, 3000, 50))
 
 
+def test_neighbours_among_near_copies_in_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 500)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 16))
+    for g in range(5):
+        x[g * 120 : g * 120 + 120] = x[g * 120] + rng.normal(size=(120, 16)) * 1e-5
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = ann.nearest(table, (F.col("vec_id") < 600) & (F.col("vec_id") % 10 == 0)).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 600, 10):
+        far = ((unit - unit[q]) ** 2).sum(axis=1)
+        far[q] = 9
+        hits += len({r["vec_id"] for r in found if r.query_id == q} & set(np.argsort(far)[:5].tolist()))
+    assert hits >= 0.95 * 300, hits
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(table, F.col("vec_id") % 50 == 0).count() == 0
