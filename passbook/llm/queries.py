@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm import ann, audit, exact_dedup, jaccard, packing, pieces, quality, secrets, substring, toxicity, warc
+from passbook.llm import ann, audit, exact_dedup, jaccard, packing, pieces, quality, repair, secrets, substring, toxicity, warc
 from passbook.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op12_removal_ranks(spark: SparkSession, folder: str) -> DataFrame:
     return audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_run_length_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_audit(repair.damage(table(spark, folder, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +74,7 @@ QUERIES = {
         op9_kernel_toxicity,
         op10_order_filters,
         op12_removal_ranks,
+        op13_run_length_repair,
     )
 }
 
