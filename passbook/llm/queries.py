@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm import ann, audit, exact_dedup, jaccard, packing, pieces, quality, repair, secrets, substring, toxicity, warc
+from passbook.llm import ann, audit, exact_dedup, jaccard, packing, pieces, quality, repair, secrets, substring, toxicity, warc, wrappers
 from passbook.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_order_filters(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, folder, "documents"))
 
 
+def op11_host_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 def op12_removal_ranks(spark: SparkSession, folder: str) -> DataFrame:
     return audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -73,6 +77,7 @@ QUERIES = {
         op8_piece_rounds,
         op9_kernel_toxicity,
         op10_order_filters,
+        op11_host_wrappers,
         op12_removal_ranks,
         op13_run_length_repair,
     )
