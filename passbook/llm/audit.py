@@ -25,7 +25,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passbook.llm.common import BLANKS, text_of
@@ -71,8 +71,8 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = known.groupBy("sha", "part", "bits").agg(
         *(F.sum(c).alias(c) for c in weights), F.min(F.struct("doc_id", *weights)).alias("first")
     )
-    lowest = texts.groupBy("sha").agg(F.min("first.doc_id").alias("low"))
-    placed = texts.join(lowest, "sha", "left")
+    # a window, not a join, so texts are read once; it sees one row per text, part and mask
+    placed = texts.withColumn("low", F.min("first.doc_id").over(Window.partitionBy("sha")))
     passes = F.col("sha").isNull() | (F.col("first.doc_id") == F.col("low"))
     own = lambda c: F.when(F.col("sha").isNull(), F.col(c)).when(passes, F.col(f"first.{c}")).otherwise(F.lit(0))
     split = placed.select(
