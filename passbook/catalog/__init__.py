@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ledger_queries", "inbox_queries", "message_queries", "token_queries", "storage_queries")
+MODULES = ("ledger_queries", "inbox_queries", "message_queries", "token_queries", "storage_queries", "screen_queries")
 
 
 def _load():

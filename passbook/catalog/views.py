@@ -184,6 +184,33 @@ select image_id, line_no, text, x1 as left, y1 as top, x2 as right, y2 as bottom
   union all select image, rn * 10 + 8, 'Debited from', null, null, null, null from {shown} where cast(image as bigint) % 2 = 1) x
 """
 
+_DAY = "timestamp_ntz '2026-08-31 00:00:00' + cast({} as int) * interval '1' day"
+
+# The same screens in batches of one order each; every seventh order was photographed twice.
+SCREEN_TOKENS = """
+select image_id, token_no, text, text_normalized, confidence, score, min_x, min_y, max_x, max_y, cx, cy, width, height from {tokens}
+union all
+select concat(image_id, 'x'), token_no, text, text_normalized, confidence, score, min_x, min_y, max_x, max_y, cx, cy, width, height
+from {tokens} where cast(replace(image_id, 'r', '') as bigint) % 7 = 0
+"""
+SCREENS = """
+select image_id, replace(replace(image_id, 'r', ''), 'x', '') as batch_id,
+       case when image_id like 'r%' then 1 else 0 end + case when image_id like '%x' then 2 else 0 end as screen_no
+from (select distinct image_id from {screen_tokens}) s
+"""
+
+# What the ledger holds of these screens: every third receipt and every second row with a date.
+SCREEN_LEDGER = f"""
+select id, 'expense' as type, minor as amount, 'INR' as currency, 'Seen before' as title, shop as merchant, cast(null as string) as category_id,
+       date, cast(null as string) as note, 'manual' as source, date as created_at, date as updated_at from (
+  select concat('r', cast(o_orderkey as string)) as id, cast(round(o_totalprice) as bigint) * 100 as minor,
+         concat('  STORE   ', chr(cast(65 + o_custkey % 26 as int)), 'X ') as shop, {_DAY.format("extract(day from o_orderdate)")} as date
+  from {{orders}} where o_orderkey % 3 = 0
+  union all
+  select concat('s', image, '-', cast(rn as string)), minor, shop, {_DAY.format("split_part(day, ' ', 1)")} from {{shown}}
+  where has_date and rn % 2 = 0) l
+"""
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "ledger": (("orders",), LEDGER),
     "ledger_fine": (("events",), LEDGER_FINE),
@@ -196,6 +223,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "tokens": (("shown", "orders"), TOKENS),
     "detections": (("tokens",), DETECTIONS),
     "lines": (("shown",), LINES),
+    "screen_tokens": (("tokens",), SCREEN_TOKENS),
+    "screens": (("screen_tokens",), SCREENS),
+    "screen_ledger": (("orders", "shown"), SCREEN_LEDGER),
 }
 
 

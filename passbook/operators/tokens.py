@@ -299,6 +299,7 @@ def _candidate(df: DataFrame, layout: str) -> DataFrame:
     return df.select(
         "image_id",
         "pos",
+        "cy",
         F.lit(layout).alias("layout"),
         F.col("amount_text_raw"),
         F.col("amount_text_normalized"),
@@ -503,6 +504,7 @@ def receipt_candidates(classified: DataFrame) -> DataFrame:
         merged.select(
             "image_id",
             F.lit(0).cast("long").alias("pos"),
+            F.col("hero.cy").alias("cy"),
             F.col("hero.raw").alias("amount_text_raw"),
             F.col("hero.norm").alias("amount_text_normalized"),
             F.col("hero.minor").alias("amount_minor"),
@@ -585,19 +587,19 @@ def reading_order(df: DataFrame) -> DataFrame:
 def fill_dates(df: DataFrame, as_of: datetime, column: str = "date") -> DataFrame:
     """Missing dates from the nearest earlier row of the image, else the nearest later, else ``as_of``.
 
-    Inferred rows lose the warning about the date.
+    Rows of an image go by ``cy`` and ``pos``, or by ``pos`` alone where there is no ``cy``. Dates are
+    carried over the edges of stripes, so an image with very many rows is not one task. Inferred
+    rows lose the warning about the date.
     """
-    image = Window.partitionBy("image_id")
-    before = image.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = image.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = df.withColumn("_b", F.last(column, ignorenulls=True).over(before)).withColumn(
-        "_a", F.last(column, ignorenulls=True).over(after)
-    )
-    inferred = F.col(column).isNull() & F.coalesce("_b", "_a").isNotNull()
+    placed = df if "cy" in df.columns else df.withColumn("cy", F.col("pos").cast("double"))
+    anchor = F.struct("cy", "pos", F.col(column).alias("day"))
+    filled = neighbours(placed, F.col(column).isNotNull(), anchor, [F.col("cy"), F.col("pos")])
+    carried = F.coalesce("above.day", "below.day")
+    inferred = F.col(column).isNull() & carried.isNotNull()
     return filled.withColumns(
         {
             "date_inferred": inferred,
-            column: F.coalesce(column, "_b", "_a", at(as_of)),
+            column: F.coalesce(F.col(column), carried, at(as_of)),
             "warnings": F.when(inferred, F.array_remove("warnings", W_NO_DATE)).otherwise(F.col("warnings")),
         }
-    ).drop("_a", "_b")
+    ).select(*df.columns, "date_inferred")
