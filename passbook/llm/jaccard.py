@@ -13,8 +13,10 @@ of a hot group leaves a task once. Token lists link each member to their smalles
 pairs. Only the tiles of step 4 compare pairs, and those stay in a task; their number is the square of
 a near-copy group's size over the tile size.
 
-Null text has no words; an empty set links with nothing. Rows equal in id count as one document, a
-null id is compared with nothing and has no component. Extra columns are not read.
+Null text has no words; an empty set links with nothing. Rows equal in id are one document, whatever
+their texts: all that links with one of them is in one component, which each of its rows with words
+names; one without words names its own id. A null id is compared with nothing and has no component.
+Texts may have any length; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -311,6 +313,14 @@ def _tiles(blocks: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return rows.withColumn("group", key.otherwise(F.struct("block", "lo", "hi"))).select("group", "block", "lo", "hi", "tile", "id", "size", "tokens")
 
 
+def _repeated(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of an id that stands for several texts."""
+    key = F.struct("k1", "k2")
+    ids = usable.groupBy("id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("id")
+    theirs = usable.join(ids, "id", "left_semi").select("id", "k1", "k2").distinct()
+    return theirs.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and n_links, the number of other documents it links with."""
     id_ = F.col(id_col).cast("long")
@@ -334,7 +344,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compared = materialise(_tiles(_blocks(prefixes.rows), sets, parts).groupBy("group").applyInPandas(_compare, "id long, other long, links long"), "jaccard-links")
     written.clear()
     prefixes.clear()
-    low = components(compared.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")), "jaccard")
+    edges = compared.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    low = components(edges.unionByName(_repeated(usable, classes)), "jaccard")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
 
     found = classes.join(low, classes.rep == low.id, "left").drop("id").join(links, classes.rep == links.id, "left")

@@ -42,8 +42,8 @@ FOUND = np.dtype([("key", "i8"), ("at", "i4"), ("n", "u1"), ("extend", "u1")])
 PACKED = "part int, kind int, data binary"
 
 
-def seeds_of(hashes: np.ndarray, size: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Anchors of a document: hash, hash of its stretch, first run and number of runs."""
+def seeds_of(hashes: np.ndarray, others: np.ndarray, size: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Anchors of a document: hash, hash of its stretch, first run and number of runs. The second comes from the other word hashes."""
     count = len(hashes) - size + 1
     if count < 1:
         none = np.zeros(0, np.int64)
@@ -54,7 +54,7 @@ def seeds_of(hashes: np.ndarray, size: int = WINDOW, anchor: int = ANCHOR) -> tu
     chosen = np.lib.stride_tricks.sliding_window_view(grams, size - anchor + 1).argmin(axis=1) + np.arange(count)
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     n = np.diff(np.r_[first, count])
-    stretch = words.runs(words.sums(hashes, words.RUN_BASE_2), first, first + n + size - 1, words.RUN_BASE_2)
+    stretch = words.runs(words.sums(others, words.RUN_BASE_2), first, first + n + size - 1, words.RUN_BASE_2)
     at = chosen[first]
     return grams[at], stretch ^ words.mix((at - first).astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)), first, n
 
@@ -102,7 +102,7 @@ def _seed_rows(parts: int):
         held, chars = [], 0
         for batch in batches:
             for id_, key, text in zip(batch["id"].tolist(), batch["key"].tolist(), batch["text"].tolist(), strict=True):
-                anchor, stretch, at, n = seeds_of(words.word_hashes(text.encode("utf-8", "replace")))
+                anchor, stretch, at, n = seeds_of(*(words.word_hashes(text.encode("utf-8", "replace"), key=k) for k in (0, 1)))
                 rows = np.empty(len(anchor), SEED)
                 rows["anchor"], rows["stretch"], rows["at"], rows["n"], rows["id"], rows["key"] = anchor, stretch, at, n, id_, key
                 held.append(rows)
@@ -152,10 +152,10 @@ def _extend(parts: int):
             mine = of.get(key)
             if mine is None or not (mine := mine[mine["extend"] == 1]).size:
                 continue
-            hashes = words.word_hashes(text.encode("utf-8", "replace"))
             at = np.unique(np.repeat(mine["at"].astype(np.int64), mine["n"]) + np.arange(int(mine["n"].sum())) - np.repeat(np.cumsum(mine["n"].astype(np.int64)) - mine["n"], mine["n"]))
             rows = np.empty(len(at), RUN)
-            for name, base in (("h1", words.RUN_BASE), ("h2", words.RUN_BASE_2)):
+            for name, which, base in (("h1", 0, words.RUN_BASE), ("h2", 1, words.RUN_BASE_2)):
+                hashes = words.word_hashes(text.encode("utf-8", "replace"), key=which)
                 rows[name] = words.runs(words.sums(hashes, base), at, at + WINDOW, base)
             rows["at"], rows["id"], rows["key"] = at, id_, key
             held.append(rows)

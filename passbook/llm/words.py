@@ -1,8 +1,10 @@
 """Words, shingles and packed arrays, flat in numpy.
 
-Hashes of words and of runs of words come from prefix sums of powers of odd numbers modulo 2^64, so
-any run's hash is one subtraction and one product, whatever its length. Where a hash decides a
-result, two independent ones (128 bits) are compared.
+A word's hash adds up its pieces of eight bytes, each mixed with a key of its place; it is not linear in
+the letters, so no family of words is known to share one. Hashes of runs of words come from prefix sums
+of powers of odd numbers modulo 2^64, so any run's hash is one subtraction and one product, whatever
+its length. Where a hash decides a result, two are compared (128 bits), built on word hashes of two
+independent keys.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-# Odd multipliers of the prefix sums.
-BYTE_BASE, RUN_BASE, RUN_BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+# Odd multipliers of the prefix sums, keys of word hashes.
+RUN_BASE, RUN_BASE_2 = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+KEYS, MASK = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F), (1 << 64) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -59,22 +62,40 @@ def spans(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.
     return raw, edge[::2], edge[1::2]
 
 
-def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
-    """One 64-bit hash per word of a text."""
+def _places(count: int, key: int) -> np.ndarray:
+    """Keys of the places of pieces in a word."""
+    return mix((np.arange(count, dtype=np.uint64) + np.uint64(1)) * np.uint64(KEYS[key]))
+
+
+def word_hashes(data: bytes, lower: bool = False, key: int = 0) -> np.ndarray:
+    """One 64-bit hash per word of a text, under one of two independent keys."""
     raw, starts, ends = spans(data, lower)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    return runs(sums(raw.astype(np.uint64) + np.uint64(1), BYTE_BASE), starts, ends, BYTE_BASE) ^ mix((ends - starts).astype(np.uint64))
+    size = ends - starts
+    pieces = (size + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    at = np.repeat(starts, pieces) + 8 * place
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))[at]
+    left = np.minimum(np.repeat(ends, pieces) - at, 8).astype(np.uint64)
+    eight = eight & (np.uint64(MASK) >> (np.uint64(64) - left * np.uint64(8)))
+    keyed = mix(eight ^ _places(int(pieces.max()), key)[place])
+    return mix(np.add.reduceat(keyed, first) ^ mix(size.astype(np.uint64) + np.uint64(KEYS[key])))
 
 
 def shingles(data: bytes, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a shorter text is one shingle, an empty one none."""
-    words = word_hashes(data, lower=True)
-    if not len(words):
-        return words
-    starts = np.arange(max(1, len(words) - size + 1))
-    ends = np.minimum(starts + size, len(words))
-    return np.unique(runs(sums(words, RUN_BASE), starts, ends, RUN_BASE) + np.uint64(len(words) < size) * np.uint64(len(words)))
+    both = [word_hashes(data, lower=True, key=k) for k in (0, 1)]
+    count = len(both[0])
+    if not count:
+        return both[0]
+    starts = np.arange(max(1, count - size + 1))
+    ends = np.minimum(starts + size, count)
+    a, b = (runs(sums(w, base), starts, ends, base) for w, base in zip(both, (RUN_BASE, RUN_BASE_2), strict=True))
+    return np.unique(mix(a + (b << np.uint64(1))) + np.uint64(count < size) * np.uint64(count))
 
 
 def dealt(rows: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes]]:

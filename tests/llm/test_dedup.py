@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from brute import awkward, components, copies, documents, passages, sha, without_repeats
+from brute import DOCUMENT, awkward, components, copies, documents, passages, sha, without_repeats
 
 from passbook.llm import jaccard
 from passbook.llm.components import components as connected
@@ -79,6 +79,31 @@ def test_jaccard_awkward(spark):
     assert found == sorted(want, key=str)
 
 
+def two_words_of_one_sum():
+    """Different words that collide in every polynomial hash modulo 2^64."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    a, b = two_words_of_one_sum()
+    assert a != b and len(a) == len(b)
+    text = lambda w: " ".join(f"{w} {i}" for i in range(40))
+    docs = documents(spark, [text(a), text(b), text(a) + " end"])
+    assert sorted(tuple(r) for r in substring_dedup(docs, with_text=False).collect()) == without_repeats(rows_of(docs))
+    assert sorted(tuple(r) for r in jaccard_join(docs).collect()) == components(rows_of(docs))
+
+
+def test_one_id_with_several_texts_is_one_document(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "xyz")
+    rows = [(0, a), (1, a), (1, b), (2, b + " near"), (5, c), (9, c), (9, a + " more"), (7, None), (7, c + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCUMENT).repartition(3)
+    found = sorted((r.doc_id, r.component_id) for r in jaccard_join(docs).collect())
+    assert found == [(0, 0), (1, 0), (1, 0), (2, 0), (5, 0), (7, 0), (7, 7), (9, 0), (9, 0)]
+
+
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r.id: r.low for r in connected(edges).collect()}
