@@ -8,7 +8,8 @@ win. All distances are in double precision, as single precision cannot order nea
 beam of a shard is scored by cosines of the original vectors.
 
 Equal vectors are one point that carries its smallest ids, so copies cost nothing and ties go to the
-smallest ids. Vectors that are null, empty, zero or hold null or non-finite components take no part;
+smallest ids. An id with several vectors is found by each of them and named once, with the nearest; as a
+query it asks with all of them and has one list. An empty table gives no rows. Vectors that are null, empty, zero or hold null or non-finite components take no part;
 neither do null ids. Vectors of different lengths are never compared. Extra columns are not read.
 """
 
@@ -135,7 +136,7 @@ INDEX = "shard long, dim int, vectors binary, graph binary, start binary, ids ar
 
 
 def _index(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("low")
+    group = group.sort_values(["low", "key"])
     vectors = np.stack([np.asarray(v, np.float64) for v in group["vector"]])
     graph, start = build_graph(_scaled(vectors))
     row = (group["shard"].iat[0], vectors.shape[1], vectors.tobytes(), graph.astype(np.int32).tobytes(), start.astype(np.int32).tobytes(), [list(x) for x in group["ids"]])
@@ -158,8 +159,11 @@ def _search(beam: int, top: int):
                 for q, row, vector in zip(own["qid"].iloc[a : a + 256].tolist(), found, ask[a : a + 256], strict=True):
                     row = row[row >= 0]
                     score = cosines(base[row], vector[None, :])
-                    best = sorted((-s, i) for s, k in zip(score.tolist(), row.tolist(), strict=True) for i in ids[k])[:top]
-                    out += [(q, i, -s) for s, i in best]
+                    best: dict[int, float] = {}
+                    for s, k in zip(score.tolist(), row.tolist(), strict=True):
+                        for i in ids[k]:
+                            best[i] = max(s, best.get(i, s))
+                    out += [(q, i, s) for i, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:top]]
         return pd.DataFrame(out, columns=["qid", "vec_id", "score"])
 
     return run
@@ -193,14 +197,14 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     folded = rows.select("key", "vec_id").mapInPandas(_lows(top), "key string, ids array<long>")
     lows = folded.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, top).alias("ids"))
     lows = lows.withColumn("low", F.col("ids")[0])
-    points = rows.join(lows.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("vec_id") == F.col("low"))).dropDuplicates(["vec_id"]).select("low", "ids", "vector", "key")
+    points = rows.join(lows.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("vec_id") == F.col("low"))).dropDuplicates(["key"]).select("low", "ids", "vector", "key")
     points = materialise(points, "ann-points")
     count = points.count()
     shards = max(1, -(-count // SHARD))
     sharded = points.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)) * WIDEST + F.size("vector"))
     index = materialise(sharded.groupBy("shard").applyInPandas(_index, INDEX), "ann-index")
 
-    asked = rows.where("asks").groupBy("key").agg(F.min("vec_id").alias("qid"), F.first("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    asked = rows.where("asks").groupBy("key").agg(F.first("vector").alias("vector")).withColumn("dim", F.size("vector")).withColumn("qid", F.col("key"))
     asked = materialise(asked, "ann-queries")
     blocks = max(1, -(-asked.count() // BLOCK))
     block = F.pmod(F.xxhash64("key"), F.lit(blocks))
@@ -208,17 +212,22 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     # a block of queries goes to each shard of its length of vectors
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     dealt = asked.withColumn("block", block).withColumn("number", every).withColumn("shard", F.col("number") * WIDEST + F.col("dim"))
-    found = left.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(_search(beam, top), "qid long, vec_id long, score double")
+    found = left.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(_search(beam, top), "qid string, vec_id long, score double")
 
     def best(grouped, col: Column) -> DataFrame:
         ordered = F.array_sort(F.collect_list(col))
         return grouped.agg(F.slice(ordered, 1, top).alias("best"))
 
     one = F.struct((-F.col("score")).alias("far"), "vec_id", "score")
+    found = found.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
     part = best(found.groupBy("qid", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")), one)
-    merged = best(part.select("qid", F.explode("best").alias("one")).groupBy("qid"), F.col("one"))
-    per_key = merged.join(asked.select("qid", "key"), "qid").select("key", "best")
-    result = rows.where("asks").select(F.col("vec_id").alias("query_id"), "key").distinct().join(per_key, "key")
+    per_key = best(part.select("qid", F.explode("best").alias("one")).groupBy("qid"), F.col("one")).withColumnRenamed("qid", "key")
+    mine = rows.where("asks").select(F.col("vec_id").alias("query_id"), "key").distinct().join(per_key, "key")
+    # an id with several vectors asks with all of them; of each other id its nearest vector counts
+    several = F.col("vectors") > 1
+    mine = mine.join(rows.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.count_distinct("key").alias("vectors")), "query_id")
+    merged = mine.where(several).select("query_id", F.explode("best").alias("b")).groupBy("query_id", F.col("b.vec_id").alias("vec_id")).agg(F.max("b.score").alias("score"))
+    result = mine.where(~several).select("query_id", "best").unionByName(best(merged.groupBy("query_id"), one))
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
     flat = result.select("query_id", F.posexplode(others).alias("pos", "b"))
     return flat.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

@@ -97,6 +97,20 @@ def test_neighbours_among_near_copies_in_several_shards(spark, monkeypatch):
     assert hits >= 0.95 * 300, hits
 
 
+def test_one_id_with_several_vectors(spark):
+    far = [1.0, 0.0, 0.0]
+    near, nearer = [0.0, 1.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(7, far), (7, near), (9, near), (11, near), (50, nearer), (50, [0.9, 0.0, 0.1]), (60, [0.8, 0.0, 0.3]), (None, near)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(table, F.col("vec_id") == 50).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in found) == [(1, 9), (2, 11), (3, 7), (4, 60)] or sorted((r["rank"], r["vec_id"]) for r in found) == [(1, 7), (2, 9), (3, 11), (4, 60)]
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    best = {r["vec_id"]: r["score"] for r in found}
+    for i in (7, 9, 11, 60):
+        mine = [v for k, v in rows if k == i]
+        assert abs(best[i] - max(cos(q, v) for q in (nearer, [0.9, 0.0, 0.1]) for v in mine)) < 1e-12
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(table, F.col("vec_id") % 50 == 0).count() == 0
