@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm.common import scratch, text_of
+from passbook.llm.common import materialise, scratch, text_of
 
 #: Bytes of a segment, of a transfer chunk, and records of a file.
 SEGMENT, CHUNK, FILE_RECORDS = 4096, 1500, 4096
@@ -100,8 +100,9 @@ def page_records(key: int, url: str, page: str, digest: str, refers: int | None,
 def write_archives(pages: DataFrame, path: str) -> None:
     """Writes pages (page_id, url, html) as WARC files below a path."""
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), text_of("url").alias("url"), F.encode(text_of("html"), "UTF-8").alias("payload"))
-    # the key of a row is read from its place, which is the same however often the pages are read
+    # a row's key is its place, given once and written: worked out anew, behind a shuffle, it would be another one
     keyed = keyed.withColumn("key", F.monotonically_increasing_id()).withColumn("digest", F.sha1("payload")).withColumn("none", F.col("page_id").isNull())
+    keyed = materialise(keyed, "warc-pages")
     firsts = keyed.groupBy("digest").agg(F.min(F.struct("none", "page_id", "key")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.key").alias("refers"))
     # equal payloads meet in a join that Spark splits where a digest is hot
     joined = keyed.join(firsts, "digest", "left").select("key", "url", F.col("page_id").cast("string").alias("page"), F.when(F.col("refers") != F.col("key"), F.col("refers").cast("string")).alias("refers"), "payload")
