@@ -9,8 +9,10 @@ ordered by number, checked for gaps and for the total length, and freed of the c
 Archives are gzip files written by Spark's text writer with the record separator as line end, so they
 go to any file system; a file holds at most FILE_RECORDS records. They are read whole, one file at a time.
 
-A null html is an empty payload; a null url an empty target. Rows of one page_id are separate pages;
-the first of them in row order counts as smaller. Extra columns are not read.
+A null html is an empty payload; a null url an empty target. Rows of one page_id are separate pages; of
+those with equal payloads the one with the smallest url counts as smaller, and of wholly equal rows any
+one is the response. A null page_id counts as larger than all others. Pages may have any length up to a
+cell's; an empty table gives no archive and no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm.common import materialise, scratch, text_of
+from passbook.llm.common import scratch, text_of
 
 #: Bytes of a segment, of a transfer chunk, and records of a file.
 SEGMENT, CHUNK, FILE_RECORDS = 4096, 1500, 4096
@@ -66,8 +68,9 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def record_id(key: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=key & (1 << 64) - 1)}>"
+def record_id(key: str) -> str:
+    """The id of the response with a payload of this SHA-256: there is one per payload."""
+    return f"<urn:uuid:{uuid.UUID(hex=key[:32])}>"
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -75,12 +78,13 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block
 
 
-def page_records(key: int, url: str, page: str, digest: str, refers: int | None, payload: bytes) -> Iterator[bytes]:
-    """The records of a page, segments included."""
+def page_records(key: str, url: str, page: str, digest: str, copy: int, payload: bytes) -> Iterator[bytes]:
+    """The records of a page, segments included; a copy above 0 is a revisit of the response of that payload."""
     one_line = " ".join(url.split())
-    head = [("WARC-Record-ID", record_id(key)), ("WARC-Date", DATE), ("WARC-Target-URI", one_line), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page)]
-    if refers is not None:
-        extra = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers))]
+    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{page}/{copy}/{url}')}>" if copy else record_id(key)
+    head = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", one_line), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page)]
+    if copy:
+        extra = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(key))]
         yield record(extra + head, b"")
         return
     block = HTTP_HEAD + chunked(payload)
@@ -98,25 +102,31 @@ def page_records(key: int, url: str, page: str, digest: str, refers: int | None,
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes pages (page_id, url, html) as WARC files below a path."""
+    """Writes pages (page_id, url, html) as WARC files below a path.
+
+    Rows are told apart by what they hold, not by numbers: equal payloads fold inside each task to one
+    response per payload, and only ids, urls and digests decide which rows revisit it.
+    """
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), text_of("url").alias("url"), F.encode(text_of("html"), "UTF-8").alias("payload"))
-    # a row's key is its place, given once and written: worked out anew, behind a shuffle, it would be another one
-    keyed = keyed.withColumn("key", F.monotonically_increasing_id()).withColumn("digest", F.sha1("payload")).withColumn("none", F.col("page_id").isNull())
-    keyed = materialise(keyed, "warc-pages")
-    firsts = keyed.groupBy("digest").agg(F.min(F.struct("none", "page_id", "key")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.key").alias("refers"))
-    # equal payloads meet in a join that Spark splits where a digest is hot
-    joined = keyed.join(firsts, "digest", "left").select("key", "url", F.col("page_id").cast("string").alias("page"), F.when(F.col("refers") != F.col("key"), F.col("refers").cast("string")).alias("refers"), "payload")
+    keyed = keyed.withColumn("key", F.sha2("payload", 256)).withColumn("none", F.col("page_id").isNull())
+    first = F.struct("none", "page_id", "url")
+    responses = keyed.groupBy("key").agg(F.first("payload").alias("payload"), F.min(first).alias("first"))
+    responses = responses.select("key", "first.page_id", "first.url", F.lit(0).cast("long").alias("copy"), "payload", F.lit(None).cast("string").alias("sha1"))
+    rows = keyed.withColumn("sha1", F.sha1("payload")).groupBy("key", "sha1", "none", "page_id", "url").agg(F.count("*").alias("n"))
+    firsts = rows.groupBy("key").agg(F.min(first).alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    known = rows.join(firsts, "key").withColumn("left", F.col("n") - F.when(first.eqNullSafe(F.col("first")), 1).otherwise(0)).where("left > 0")
+    again = known.select("key", "page_id", "url", F.explode(F.sequence(F.lit(1).cast("long"), "left")).alias("copy"), F.lit(b"").alias("payload"), "sha1")
+    both = responses.unionByName(again).select("key", "url", F.col("page_id").cast("string").alias("page"), "copy", "payload", "sha1")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, url, page, refers, payload in batch[["key", "url", "page", "refers", "payload"]].itertuples(index=False):
-                payload = bytes(payload)
-                other = int(refers) if isinstance(refers, str) else None
-                out += page_records(key, url, page if isinstance(page, str) else "", digest_of(payload), other, payload)
+            for key, url, page, copy, payload, sha1 in batch[["key", "url", "page", "copy", "payload", "sha1"]].itertuples(index=False):
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode() if copy else digest_of(bytes(payload))
+                out += page_records(key, url, page if isinstance(page, str) else "", digest, copy, bytes(payload))
             yield pd.DataFrame({"value": out})
 
-    records = joined.mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    records = both.mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
     records.write.option("compression", "gzip").option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
