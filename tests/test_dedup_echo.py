@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from passbook.operators import dedup, echo
 from passbook.operators.skew import salted_left_join
 from passbook.schema import LEDGER
-from passbook.streaming import jobs
 
 DAY = datetime(2026, 9, 8)
 ROWS = "batch_id string, pos long, id string, date timestamp_ntz, amount long, title string, merchant string, type string"
@@ -68,22 +67,3 @@ def test_echo_chain_against_brute_force(spark):
     for block_ms in (2_000, 10_000, 600_000):
         got = {r.sms_id for r in echo.drop_echoes(df, block_ms=block_ms).collect()}
         assert got == want, block_ms
-
-
-def test_a_future_row_keeps_the_state_of_other_keys(spark, tmp_path):
-    def epochs(name, *batches):
-        write = jobs.echo_writer(str(tmp_path / name), lambda: F.col("body"), "sms_id", 2_000)
-        for n, rows in enumerate(batches):
-            write(spark.createDataFrame(rows, "sms_id long, body string, ts timestamp"), n)
-        kept = {r.row_id for r in spark.read.parquet(str(tmp_path / name / "rows")).collect()}
-        return kept, {r.key for r in spark.read.parquet(str(tmp_path / name / "state" / str(len(batches) - 1))).collect()}
-
-    later = lambda ms: DAY + timedelta(milliseconds=ms)
-    first, again = [(1, "a", DAY), (2, "b", DAY)], [(4, "a", later(1_500)), (5, "b", later(1_900)), (6, "a", later(2_100))]
-    future = (3, "c", DAY + timedelta(days=400))
-    assert epochs("alone", first, [future], again)[0] == {1, 2, 3, 6}
-    assert epochs("beside", first, [future, (7, "d", later(1_000))], again)[0] == {1, 2, 3, 6, 7}
-    assert epochs("empty", first, [], again)[0] == {1, 2, 6}
-    # old keys still expire
-    days = lambda n: DAY + timedelta(days=n)
-    assert epochs("old", [(1, "a", DAY)], [(2, "b", days(3)), (3, "c", days(3))], [(4, "d", days(3))])[1] == {"b", "c", "d"}
