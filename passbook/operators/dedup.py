@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from passbook.functions.candidates import fingerprint
 from passbook.operators.skew import HOT_ROWS, salted_left_join
+from passbook.operators.tokens import materialise
 
 _FLAGS = ("_first_pos", "_n", "_in_ledger", "_in_pending")
 
@@ -23,10 +24,11 @@ def distinct_fingerprints(df: DataFrame, flag: str) -> DataFrame:
     return df.select(fingerprint().alias("fp")).distinct().withColumn(flag, F.lit(True))
 
 
-def fingerprint_facts(
-    rows: DataFrame, ledger: DataFrame | None, pending: DataFrame | None = None, min_hot: int = HOT_ROWS
-) -> DataFrame:
-    """Per batch and fingerprint: first position, number of rows, presence elsewhere."""
+def fingerprint_facts(rows: DataFrame, ledger: DataFrame | None, pending: DataFrame | None = None) -> DataFrame:
+    """Per batch and fingerprint: first position, number of rows, presence elsewhere.
+
+    These frames hold one row per key, so their joins are plain ones.
+    """
     facts = rows.groupBy("batch_id", "fp").agg(
         F.min("pos").alias("_first_pos"), F.count(F.lit(1)).alias("_n")
     )
@@ -35,18 +37,17 @@ def fingerprint_facts(
             facts = facts.withColumn(flag, F.lit(False))
         else:
             known = distinct_fingerprints(other, flag)
-            facts = salted_left_join(facts, known, ["fp"], min_rows=min_hot, spread=["batch_id"]).withColumn(
-                flag, F.coalesce(flag, F.lit(False))
-            )
+            facts = facts.join(known, "fp", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
     return facts
 
 
 def _flagged(
     candidates: DataFrame, ledger: DataFrame | None, pending: DataFrame | None, min_hot: int
 ) -> DataFrame:
-    rows = with_fingerprint(candidates.drop("is_duplicate", "duplicate_source"))
-    facts = fingerprint_facts(rows, ledger, pending, min_hot)
-    sizes = facts.select("batch_id", "fp", F.col("_n").alias("n"))
+    # read three times below, so the fingerprints are worked out once and written
+    rows = materialise(with_fingerprint(candidates.drop("is_duplicate", "duplicate_source")), "fingerprints")
+    facts = fingerprint_facts(rows, ledger, pending)
+    sizes = rows.groupBy("batch_id", "fp").agg(F.count(F.lit(1)).alias("n"))
     joined = salted_left_join(
         rows, facts, ["batch_id", "fp"], counts=sizes, min_rows=min_hot, spread=["batch_id", "pos", "id"]
     )

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Rows that one task may hold of a key.
-HOT_ROWS = 100_000
+#: Rows that one task may hold of a key, and how many keys can be hot: a key is, if it also holds one in so many rows.
+HOT_ROWS, HOT_KEYS = 100_000, 1_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """One row: hashes and numbers of salts of the hot keys, from the rows ``n`` of every key.
+
+    A hot key holds more than ``min_rows`` rows and more than one in ``HOT_KEYS`` of all, so there are fewer
+    than ``HOT_KEYS`` of them, whatever the size of the table.
+    """
+    total = counts.agg(F.sum("n").alias("all")).scalar()
+    least = F.greatest(F.lit(min_rows), F.floor(total / HOT_KEYS))
+    hot = counts.where(F.col("n") > least).select(F.xxhash64(*keys).alias("h"), F.ceil(F.col("n") / least).cast("int").alias("salts"))
+    return hot.agg(F.collect_list(F.struct("h", "salts")).alias("hot"))
+
+
+def salts_of(hot: Column, keys: list[str]) -> Column:
+    """How many salts a key is spread over, read from the short list of hot ones: no join, so no shuffle by the bare key."""
+    place = F.array_position(hot["h"], F.xxhash64(*keys)).cast("int") - 1
+    return F.coalesce(F.get(hot["salts"], F.nullif(place, F.lit(-1))), F.lit(1))
 
 
 def salted_left_join(
@@ -18,19 +36,13 @@ def salted_left_join(
 ) -> DataFrame:
     """``left`` with the columns of ``right``, which has one row per key.
 
-    A key with more than ``min_rows`` left rows is spread over as many salts as
-    it takes for each to hold ``min_rows``, by a hash of ``spread`` (all left
-    columns by default); its right row is repeated as often. Any number of keys
-    can be hot. Results are the same as of a plain left join.
+    A hot key is spread over as many salts as it takes for each to hold about ``min_rows`` rows, by a hash
+    of ``spread`` (all left columns by default); its right row is repeated as often. Each side is shuffled
+    once, by key and salt. Results are the same as of a plain left join.
     """
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where(F.col("n") > min_rows).select(*keys, F.ceil(F.col("n") / min_rows).cast("int").alias("_salts"))
-    spread = spread or left.columns
-    salted = left.join(hot, keys, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"), F.lit(0))
-    )
-    repeated = right.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    )
-    return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], "left").drop("_salt")
+    salts = salts_of(hot_keys(counts, keys, min_rows).scalar(), keys)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(spread or left.columns)), salts).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
