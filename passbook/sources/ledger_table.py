@@ -60,7 +60,7 @@ def key_clashes(df: DataFrame, target: DataFrame | None) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, exists: bool = True) -> None:
-    """Adds rows; a repeated or known id is an error, no rows are no change.
+    """Adds rows; a repeated or known id is an error, no rows are no change. One writer at a time.
 
     The rows are worked out once, into a staging table; tests and the append read that.
     """
@@ -80,7 +80,7 @@ def _staged(df: DataFrame) -> DataFrame:
 
 
 def replace(ledger: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rows of the same id are replaced; changes with an unknown id are left out."""
+    """Rows of the same id are replaced; changes with an unknown id are left out, and each id is there once."""
     kept = ledger.join(changes.select("id"), "id", "left_anti")
     known = changes.join(ledger.select("id"), "id", "left_semi")
     return kept.unionByName(known.select(*ledger.columns))
@@ -116,8 +116,14 @@ def _only(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
 
 
 def replace_rows(spark: SparkSession, path: str, changes: DataFrame) -> None:
-    """Replaces stored rows by changes of the same id; rewrites only the months of either."""
+    """Replaces stored rows by changes of the same id; rewrites only the months of either.
+
+    An id that is twice in the changes is an error. One writer at a time: another one would not be seen.
+    """
     ledger, changes = read_ledger(spark, path), _staged(changes)
+    clash = key_clashes(changes, None).first()
+    if clash is not None:
+        raise ValueError(f"id twice in the changes: {clash['id']}")
     old = ledger.join(changes.select("id"), "id", "left_semi")
     known = changes.join(ledger.select("id"), "id", "left_semi").select(*LEDGER.fieldNames())
     months = _months(old, known)

@@ -56,6 +56,8 @@ def test_changes_are_stored(spark):
         ledger_table.append(frame(row("e", 4, 5)), path)
     ledger_table.replace_rows(spark, path, frame(row("c", 4, 30), row("zz", 1, 9), row("a", 1, 10)))
     assert stored(spark, path) == [("a", 1, 10), ("b", 1, 2), ("c", 4, 30), ("d", 3, 4), ("e", 3, 5)]
+    with pytest.raises(ValueError, match="twice"):
+        ledger_table.replace_rows(spark, path, frame(row("a", 1, 5), row("a", 1, 6)))
     ledger_table.delete_rows(spark, path, spark.createDataFrame([("b",), ("d",), ("e",), ("none",)], "id string"))
     assert stored(spark, path) == [("a", 1, 10), ("c", 4, 30)]
     ledger_table.append(frame(), path)
