@@ -192,12 +192,12 @@ def _(t):
 
 @query(
     "join_nearest_amount",
-    """select image_id, token_no, token_no // 10 * 10 + 1 as amount_no,
-         cy - (215 + 90 * (token_no // 10)) as dy from tokens where substr(image_id, 1, 1) <> 'r' and token_no % 10 <> 1""",
+    """select image_id, t.token_no, arg_min(a.token_no, (abs(t.cy - a.cy), a.cy)) as amount_no, arg_min(t.cy - a.cy, (abs(t.cy - a.cy), a.cy)) as dy
+       from tokens t join tokens a using (image_id) where substr(a.text, 1, 1) = '₹' and substr(t.text, 1, 1) <> '₹' group by all""",
     "tokens",
 )
 def _(t):
-    marked = source(t).where("image_id not like 'r%'")
+    marked = source(t)
     anchor = F.col("text").startswith("₹")
     placed = tokens.neighbours(marked, anchor, F.struct("cy", "token_no"), [F.col("cy"), F.col("token_no")])
     near = placed.where(~anchor).withColumn("o", tokens.nearest())
@@ -450,43 +450,31 @@ def _(t):
     )
 
 
-def _responses(t):
-    """Remote responses under changing key names: odd orders bring candidates, even ones items only."""
+def _responses(t, own: str = "true"):
+    """Remote responses under changing key names: items of every image, and candidates of the orders that ``own`` names."""
     path = scratch_path(t.spark, "remote")
-    odd = F.col("image").cast("long") % 2 == 1
     name = F.struct(
         F.col("rn").alias("id"),
         F.when(F.col("minor") % 2 == 0, F.col("minor").cast("string")).otherwise(F.col("money")).alias("amount"),
         F.col("shop").alias("payee"),
         F.when(F.col("has_date"), "CREDIT").alias("direction"),
     )
-    docs = (
-        t.shown.where(odd)
-        .groupBy(F.col("image").alias("filename"))
-        .agg(F.array_sort(F.collect_list(name)).alias("candidates"))
-        .withColumn("text", F.to_json(F.struct("filename", "candidates")))
-        .select(F.regexp_replace("text", r'"amount":"([\d.]+)"', '"amount":$1').alias("value"))
-    )
+    named = t.shown.where(own).groupBy(F.col("image").alias("filename")).agg(F.array_sort(F.collect_list(name)).alias("candidates"))
     item = F.struct(
         F.col("token_no").alias("index"),
         F.col("text"),
         (F.col("score") + 1).alias("score"),
         F.array("min_x", "min_y", "max_x", "max_y").alias("box"),
     )
-    plain = (
-        t.tokens.where("image_id not like 'r%' and cast(try_cast(image_id as bigint) as bigint) % 2 = 0")
-        .groupBy(F.col("image_id").alias("filename"))
-        .agg(F.array_sort(F.collect_list(item)).alias("tokens"))
-        .select(F.to_json(F.struct("filename", "tokens")).alias("value"))
-    )
-    docs.unionByName(plain).write.text(path)
+    items = t.tokens.groupBy(F.col("image_id").alias("filename")).agg(F.array_sort(F.collect_list(item)).alias("tokens"))
+    docs = items.join(named, "filename", "left").select(F.to_json(F.struct("filename", "tokens", "candidates")).alias("text"))
+    docs.select(F.regexp_replace("text", r'"amount":"([\d.]+)"', '"amount":$1').alias("value")).write.text(path)
     return ocr_json.read_remote_ocr(t.spark, path, one_per_file=False)
 
 
 @query(
     "source_remote_json",
-    """select image_id, token_no, text, 1.0::double as score, min_x, min_y, max_x, max_y from tokens
-       where substr(image_id, 1, 1) <> 'r' and try_cast(image_id as bigint) % 2 = 0""",
+    "select image_id, token_no, text, 1.0::double as score, min_x, min_y, max_x, max_y from tokens",
     "tokens",
 )
 def _(t):
@@ -495,7 +483,7 @@ def _(t):
 
 _REMOTE_OWN = """select image as image_id, cast(rn as varchar) as id, minor as amount, 'INR' as currency, shop as title, shop as merchant,
       case when has_date then 'income' else 'general' end as category_id, case when has_date then 'income' else 'expense' end as type,
-      timestamp '2026-09-30 12:00:00' as date, 1.0::double as confidence from shown where cast(image as bigint) % 2 = 1"""
+      timestamp '2026-09-30 12:00:00' as date, 1.0::double as confidence from shown"""
 
 
 @query("candidate_remote", _REMOTE_OWN, "shown")
@@ -505,12 +493,14 @@ def _(t):
 
 @query(
     "job_remote_candidates",
-    f"""select image_id, amount, type, merchant from ({_REMOTE_OWN}) o
-        union all select image, minor, 'expense', shop from shown where cast(image as bigint) % 2 = 0""",
+    f"""select image_id, amount, type, merchant from ({_REMOTE_OWN}) o where cast(image_id as bigint) % 2 = 1
+        union all select image, minor, 'expense', shop from shown where cast(image as bigint) % 2 = 0
+        union all select image_id, minor, 'expense', merchant_text from ({_RECEIPT}) r""",
     "shown",
 )
 def _(t):
-    responses = _responses(t)
+    """Odd orders bring candidates; all other images, receipts too, are read by the lines of their items."""
+    responses = _responses(t, "cast(image as bigint) % 2 = 1")
     items = tokens.materialise(ocr_json.remote_items(responses), "items")
     return remote.candidates_of_responses(responses, items, AS_OF).select("image_id", "amount", "type", "merchant")
 

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passbook.functions.text import strip
-from passbook.operators.inbox import fallback
 from passbook.operators.lines import line_candidates
 from passbook.sources.ocr_json import remote_candidates
 
@@ -70,5 +69,6 @@ _OUT = ["image_id", "pos", "amount", "type", "merchant", "title", "category_id",
 def candidates_of_responses(responses: DataFrame, items: DataFrame, as_of: datetime) -> DataFrame:
     """Own candidates of a response; where it has none, rows made from its items."""
     own = remote_candidates(responses, as_of).select(*_OUT)
-    lines = line_candidates(item_lines(items), as_of)
-    return fallback(own, blend_confidence(lines, items).select(*_OUT))
+    rest = items.join(own.select("image_id").distinct(), "image_id", "left_anti")
+    lines = line_candidates(item_lines(rest), as_of)
+    return own.unionByName(blend_confidence(lines, rest).select(*_OUT))
