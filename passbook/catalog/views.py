@@ -102,6 +102,16 @@ from (select event_id, user_id, ts, event_type, cast(round(value * 100) as bigin
       from {events}) e
 """
 
+# What the messages tell, as rows that ledger and inbox may hold already, with names spelt another way.
+SMS_KNOWN = """
+select event_id, concat('k', sms_id) as id, concat('b', sms_id) as batch_id, minor as amount,
+       case event_id % 6 when 1 then 'income' else 'expense' end as type, cast(null as string) as title,
+       case event_id % 6 when 0 then ' SWIGGY ' when 1 then concat('user  ', cast(user_id as string))
+            when 4 then concat('STORE ', cast(user_id as string)) else 'Chai  Point' end as merchant,
+       cast(case when event_id % 6 = 5 then ts else date_trunc('day', ts) end as timestamp_ntz) as date
+from {sms} where event_id % 6 not in (2, 3)
+"""
+
 # One inbox batch per order; open orders wait for review, status P is still processing.
 BATCHES = """
 select cast(o_orderkey as string) as id,
@@ -217,6 +227,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "ledger_big": (("lineitem",), LEDGER_BIG),
     "candidates": (("lineitem", "orders"), CANDIDATES),
     "sms": (("events",), MESSAGES),
+    "sms_known": (("sms",), SMS_KNOWN),
     "batches": (("orders",), BATCHES),
     "promos": (("events",), PROMOS),
     "shown": (("lineitem",), SHOWN),

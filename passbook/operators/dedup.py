@@ -76,6 +76,25 @@ def mark_pending(candidates: DataFrame, pending: DataFrame, min_hot: int = HOT_R
     ).drop("_in_pending")
 
 
+def mark_one_by_one(rows: DataFrame, known: DataFrame, order: list[str], min_hot: int = HOT_ROWS) -> DataFrame:
+    """Both flags of rows with ``fp`` that are staged one at a time: those after the first of a fingerprint find it in the inbox.
+
+    ``known`` says per fingerprint whether it stands in the ledger and in the inbox; the inbox goes first.
+    """
+    place = F.struct(*order)
+    seen = rows.groupBy("fp").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("n"))
+    joined = salted_left_join(
+        rows, seen.drop("n").join(known, "fp", "left"), ["fp"], counts=seen.select("fp", "n"), min_rows=min_hot, spread=order
+    )
+    waiting = F.coalesce("_in_pending", F.lit(False)) | (place > F.col("_first"))
+    source = F.when(waiting, "intraBatch").when(F.col("_in_ledger"), "existingDb")
+    return (
+        joined.withColumn("duplicate_source", source)
+        .withColumn("is_duplicate", F.col("duplicate_source").isNotNull())
+        .drop("_first", "_in_ledger", "_in_pending")
+    )
+
+
 def rows_to_stage(
     candidates: DataFrame, ledger: DataFrame, pending: DataFrame, min_hot: int = HOT_ROWS
 ) -> DataFrame:
