@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from passbook.fixed_values import SOURCES, TYPES
 from passbook.operators.inbox import STATES, union_batches
 from passbook.operators.skew import salted_left_join
+from passbook.operators.tokens import materialise
 from passbook.schema import PENDING
 from passbook.sources.exports import iso
 
@@ -112,27 +113,28 @@ def documents(batches: DataFrame, rows: DataFrame, limit: int = DOCUMENT_ROWS) -
             "pos",
         ).alias("t"),
     )
-    sizes = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.where(F.col("n") > limit).select("batch_id", F.ceil(F.col("n") / limit).alias("parts"))
-    placed = salted_left_join(rows, big, ["batch_id"], counts=sizes, spread=["id"]).withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
-    )
-    nested = placed.groupBy(F.col("batch_id").alias("id"), "part").agg(
-        F.transform(F.array_sort(F.collect_list(tx)), lambda x: x["t"]).alias("extractedTransactions")
-    )
-    return (
-        batches.join(nested, "id", "left")
-        .select(
-            "id",
-            F.col("paths").alias("imagePaths"),
-            iso("created_at").alias("createdAt"),
-            "status",
-            "extractedTransactions",
-            "source",
-            "part",
-        )
-    )
+    head = batches.select("id", F.col("paths").alias("imagePaths"), iso("created_at").alias("createdAt"), "status", "source")
+    fields = ["id", "imagePaths", "createdAt", "status", "extractedTransactions", "source", "part"]
+    found = F.transform(F.array_sort(F.collect_list(tx)), lambda x: x["t"]).alias("extractedTransactions")
 
+    def nested(some: DataFrame, part: Column) -> DataFrame:
+        """Rows by batch, which their headers join without another shuffle."""
+        return some.groupBy(F.col("batch_id").alias("id")).agg(found).withColumn("part", part)
 
-def write_pending(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").json(path)
+    # Counted once: what a batch holds is not changed by its duplicate flags.
+    sizes = materialise(rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    big = sizes.where(F.col("n") > limit).select("batch_id", F.ceil(F.col("n") / limit).alias("parts"))
+    if big.isEmpty():
+        return head.join(nested(rows, F.lit(0).cast("long")), "id", "left").select(fields)
+    placed = salted_left_join(rows, big, ["batch_id"], counts=sizes, spread=["id"])
+    many = placed.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    in_parts = many.groupBy(F.col("batch_id").alias("id"), "part").agg(found)
+    whole = nested(placed.where("parts is null"), F.lit(0).cast("long"))
+    large = big.select(F.col("batch_id").alias("id"))
+    small = head.join(large, "id", "left_anti").join(whole, "id", "left").select(fields)
+    return small.unionByName(head.join(in_parts, "id").select(fields))
+
+
+def write_pending(docs: DataFrame, path: str, compression: str = "gzip") -> None:
+    """JSON lines, one document a line; ``read_pending`` reads compressed and plain files alike."""
+    docs.write.mode("overwrite").option("compression", compression).json(path)

@@ -1,6 +1,8 @@
 """What is stored comes back: inbox documents, changes of the ledger."""
 
+import re
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,29 @@ def test_changes_are_stored(spark):
     assert stored(spark, path) == [("a", 1, 10), ("c", 4, 30)]
     ledger_table.append(frame(), path)
     assert len(stored(spark, path)) == 2
+
+
+def test_batches_are_shuffled_once_and_written_small(spark):
+    """Batches below and above the limit, one without rows: all come back; without large ones rows are dealt by batch alone."""
+    rows = spark.range(60).select(
+        F.concat(F.lit("b"), (F.col("id") % 10 % 3).cast("string")).alias("batch_id"),
+        F.col("id").alias("pos"),
+        F.concat(F.lit("c"), "id").alias("id"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in CANDIDATE.fields if f.name not in ("batch_id", "pos", "id")],
+    )
+    batches = spark.createDataFrame(
+        [(f"b{i}", ["p"], datetime(2026, 1, 1), "readyForReview", "x") for i in range(4)],
+        "id string, paths array<string>, created_at timestamp_ntz, status string, source string",
+    )
+    want = sorted((r.batch_id, r.pos, r.id) for r in rows.collect())
+    for limit in (20, 100):
+        path = scratch_path(spark, "pending")
+        docs = pending.documents(batches, rows, limit=limit)
+        pending.write_pending(docs, path)
+        headers, found = pending.read_batches(spark, path)
+        assert sorted((r.batch_id, r.pos, r.id) for r in found.collect()) == want
+        assert sorted(r.id for r in headers.collect()) == ["b0", "b1", "b2", "b3"]
+        dealt = re.findall(r"hashpartitioning\(([^)]*)\)", docs._jdf.queryExecution().executedPlan().toString())
+        assert any("part#" in d for d in dealt) == (limit == 20)
+    files = list(Path(path).glob("part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
