@@ -116,3 +116,21 @@ def test_neighbours_across_stripes(spark):
 @pytest.mark.parametrize("lenient,kind", [(False, None), (True, "date")])
 def test_lenient_months(spark, lenient, kind):
     assert spark.range(1).select(rules.date_kind(F.lit("12 Maruti"), lenient).alias("k")).first().k == kind
+
+
+def test_regions_take_one_shuffle_and_keep_columns(spark):
+    """Pieces that reach over Arrow batches are numbered as one; rows are not joined back."""
+    rows = [("a", i, 0.0 + i // 3 * 50, 10.0 * (i % 3), 30.0 + i // 3 * 50, 10.0 * (i % 3) + 9.0, f"t{i}") for i in range(12)]
+    rows += [("b", i, 0.5 * i, 0.0, 40.0 + 0.5 * i, 10.0, f"u{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "image_id string, token_no long, min_x double, min_y double, max_x double, max_y double, text string")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        found = regions.clusters(df)
+        got = {(r.image_id, r.token_no): (r.text, r.row_no, r.column_no, r.group_no) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert len(got) == 21 and all(got[k][0] == ("t" if k[0] == "a" else "u") + str(k[1]) for k in got)
+    assert len({v[1:] for k, v in got.items() if k[0] == "a"}) == 12
+    assert {v[1:] for k, v in got.items() if k[0] == "b"} == {(1, 1, 0)}
+    assert regions.clusters(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
