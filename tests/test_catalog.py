@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare, connect
 from passbook import catalog
+from passbook.catalog.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 QUICK = (
@@ -30,3 +31,11 @@ def con():
 @pytest.mark.parametrize("key", QUICK)
 def test_equals_sql(spark, con, key):
     assert compare(entry.queries()[key](spark, FOLDER), con, entry.oracle_sql()[key]) is None
+
+
+def test_numbered_rows_are_worked_out_once(spark):
+    """Views that name the numbered order lines several times read them from one written table."""
+    tables = Tables(spark, FOLDER)
+    for view in (tables.tokens, tables.lines, tables.detections):
+        assert "Window" not in view._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("written" in k for k in tables._views) == 1
