@@ -1,11 +1,14 @@
 """Text steps of tokens and lines: shortcuts for texts that cannot match change no result, and nothing is worked out twice."""
 
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.functions import lines as ln, tokens as t
+from passbook.functions import boxes, lines as ln, tokens as t
+from passbook.functions.messages import message_date, minor_from_text
+from passbook.functions.text import no_blanks, strip
 from passbook.operators import skew
 
 AS_OF = datetime(2026, 9, 30, 12)
@@ -67,3 +70,30 @@ def test_join_without_hot_keys_is_plain(spark):
     hot = skew.salted_left_join(left, right, ["k"], spread=["id"], min_rows=5)
     assert "_salt" in hot._jdf.queryExecution().analyzed().toString()
     assert sorted(joined.collect()) == sorted(hot.collect())
+
+
+def test_texts_that_are_no_numbers_are_not_cast(spark):
+    text = F.col("text")
+    readings = [ln.line_date(text, AS_OF), ln.has_date(text), t.detect_date(text, AS_OF), message_date(text), minor_from_text(text)]
+    plan = spark.createDataFrame([("a",)], "text string").select(*readings)._jdf.queryExecution().analyzed().toString()
+    # What a pattern found is tested before the cast: a cast of an empty text fails, which costs several times the pattern.
+    assert "try_cast(" in plan and not re.search(r"try_cast\((?:regexp_extract|concat)", plan)
+    df = spark.createDataFrame([(x,) for x in ("12 September", "7.5", "7.", "1,234.5", "7 5", "7a", "12.5 x")], "text string")
+    assert [r["m"] for r in df.select(minor_from_text(text).alias("m")).collect()] == [None, 750, 700, 123450, None, None, 125]
+
+
+def test_blanks_of_any_kind_are_stripped(spark):
+    blanks = " \t\n\x0b\f\r         　﻿"
+    df = spark.createDataFrame([(f"{blanks}A{blanks}b​{blanks}",)], "text string")
+    row = df.select(strip(F.col("text")).alias("s"), no_blanks(F.col("text")).alias("n")).first()
+    assert (row["s"], row["n"]) == (f"A{blanks}b​", "ab​")
+
+
+@pytest.mark.parametrize("raw, box", [
+    ("[10,20,5,6]", (10, 20, 15, 26)), ("[1,2,3,4]", (1, 2, 3, 4)), (" [ [1,2], [5,9] ]", (1, 2, 5, 9)), ("[1,2,3", None), ("", None), ("[[]]", None),
+])
+def test_boxes_are_read_by_their_form(spark, raw, box):
+    found = boxes.normalise_box(F.col("raw"))
+    df = spark.createDataFrame([(raw,)], "raw string").select(found.alias("b"))
+    b = df.first()["b"]
+    assert (b and (b["min_x"], b["min_y"], b["max_x"], b["max_y"])) == box
