@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from passbook.functions.text import strip
@@ -144,51 +144,58 @@ def accepted(
 
 
 class Parts(StatefulProcessor):
-    """Joins the parts of a message: when all are there, or when the watermark has passed those that are."""
+    """Joins the parts of a message: when all are there, or when the watermark has passed those that are.
+
+    What is known of a message is one value, read and written once an epoch: its parts (at most 255) and,
+    once it is complete, the time of its newest part. The timer is set when the message is first seen; if
+    newer parts have come by the time it runs out, it is set again.
+    """
 
     schema = "broadcast_id long, sender string, body string, t long, parts int, kind string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = handle.getMapState("parts", "part_no int", "body string, t long")
-        self.done = handle.getValueState("done", "t long")
-        self.deadline = Deadline(handle)
+        self.handle = handle
+        self.known = handle.getValueState("known", "parts array<struct<part_no: int, body: string, t: long>>, done long")
 
-    def _row(self, key, parts: list[tuple[int, str, int]], kind: str) -> pd.DataFrame:
-        parts = sorted(parts)
+    def _row(self, key, parts: list[tuple[int, str | None, int]], kind: str) -> Row:
+        parts = sorted(parts, key=lambda p: p[0])
         text = "".join(body or "" for _, body, _ in parts)
-        return pd.DataFrame([(*key, text, parts[-1][2], len(parts), kind)], columns=[c.split()[0] for c in self.schema.split(", ")])
-
-    def _held(self) -> list[tuple[int, str, int]]:
-        return [(k[0], v[0], v[1]) for k, v in self.parts.iterator()]
+        return Row(broadcast_id=key[0], sender=key[1], body=text, t=parts[-1][2], parts=len(parts), kind=kind)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         bound = timerValues.getCurrentWatermarkInMs() * 1000
-        late, total, newest = [], None, None
-        for batch in rows:
-            for number, of, body, t in zip(batch["part_no"], batch["part_count"], batch["body"], batch["t"], strict=True):
-                if t < bound:
-                    late.append((int(number), body, int(t)))
-                elif not self.done.exists():
-                    self.parts.updateValue((int(number),), (body, int(t)))
-                    total, newest = (int(of) if of == of and of is not None else None), max(newest or int(t), int(t))
+        late, fresh, total = [], {}, None
+        for row in rows:
+            if row.t < bound:
+                late.append((row.part_no, row.body, row.t))
+            else:
+                fresh[row.part_no] = (row.body, row.t)
+                total = row.part_count
         for part in late:
             yield self._row(key, [part], LATE)
-        if newest is None:
+        before = self.known.get() if fresh else None
+        if not fresh or (before is not None and before[1] is not None):
+            return  # parts sent again are no new message
+        held = {number: (body, t) for number, body, t in (before[0] if before is not None else ())} | fresh
+        newest = max(t for _, t in held.values())
+        parts = [(number, body, t) for number, (body, t) in held.items()]
+        if total is not None and len(parts) >= total:
+            yield self._row(key, parts, COMPLETE)
+            self.known.update(([], newest))
+        else:
+            self.known.update((parts, None))
+        if before is None:
+            self.handle.registerTimer(newest // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        parts, done = self.known.get()
+        due = max([done, *(t for _, _, t in parts)] if done is not None else [t for _, _, t in parts]) // 1000 + 1
+        if due >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
             return
-        held = self._held()
-        if total is not None and len(held) >= total:
-            yield self._row(key, held, COMPLETE)
-            self.parts.clear()
-            self.done.update((newest,))  # parts sent again are no new message
-        self.deadline.at(max([newest, *(t for _, _, t in held)]) // 1000 + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self._held()
-        if held:
-            yield self._row(key, held, INCOMPLETE)
-        self.parts.clear()
-        self.done.clear()
-        self.deadline.at(None, True)
+        if parts:
+            yield self._row(key, [tuple(p) for p in parts], INCOMPLETE)
+        self.known.clear()
 
 
 def joined_parts(stream: DataFrame, delay: str, ticks: DataFrame | None = None) -> DataFrame:
@@ -200,7 +207,7 @@ def joined_parts(stream: DataFrame, delay: str, ticks: DataFrame | None = None)
     with_state(stream.sparkSession)
     columns = ("broadcast_id", "sender", F.col("part_no").cast("int").alias("part_no"), F.col("part_count").cast("int").alias("part_count"), "body", "ts")
     rows = timed(stream.select(*columns), delay, ticks)
-    return rows.groupBy("broadcast_id", "sender").transformWithStateInPandas(Parts(), Parts.schema, "Append", "EventTime")
+    return rows.groupBy("broadcast_id", "sender").transformWithState(Parts(), Parts.schema, "Append", "EventTime")
 
 
 # ---- inbox ------------------------------------------------------------------------------------

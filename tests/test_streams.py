@@ -5,7 +5,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from passbook.operators import echo
 from passbook.streaming import jobs, stateful
@@ -126,3 +126,55 @@ def test_inbox_by_the_clock(spark, feed):
         done = ("a", "failed", "stale") in rows and progress["stateOperators"][0]["numRowsTotal"] <= 1
     query.stop()
     assert done
+
+
+class _Store:
+    """A state store that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, *_):
+        return self
+
+    def _count(self, result=None):
+        self.calls += 1
+        return result
+
+    def get(self):
+        return self._count(self.value)
+
+    def update(self, value):
+        self.value = self._count(value)
+
+    def clear(self):
+        self.value = self._count()
+
+    def registerTimer(self, ms):
+        self._count(self.timers.append(ms))
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_parts_ask_the_store_little_and_wait_for_the_newest(spark):
+    store, parts = _Store(), stateful.Parts()
+    parts.init(store)
+
+    def epoch(now, *rows):
+        store.now, store.calls = now, 0
+        return [tuple(r)[2:] for r in parts.handleInputRows((1, "S"), iter([Row(part_no=n, part_count=3, body=b, t=t) for n, b, t in rows]), store)]
+
+    def fire(now):
+        store.now = now
+        return [tuple(r)[2:] for r in parts.handleExpiredTimer((1, "S"), store, None)]
+
+    assert epoch(0, (1, "b", 5_000)) == [] and store.calls <= 3
+    assert epoch(0, (0, "a", 20_000)) == [] and store.calls <= 3
+    assert store.timers == [6]
+    assert fire(10) == [] and store.timers == [6, 21]  # a newer part came after the timer was set
+    assert epoch(10, (2, "x", 9_000)) == [("x", 9_000, 1, stateful.LATE)]
+    assert fire(30) == [("ab", 5_000, 2, stateful.INCOMPLETE)] and store.value is None
+    assert epoch(30, (2, "c", 40_000), (1, "b", 40_001), (0, "a", 40_002)) == [("abc", 40_000, 3, stateful.COMPLETE)]
+    assert epoch(30, (0, "a", 41_000)) == [] and store.value == ([], 40_002)  # sent again
+    assert fire(50) == [] and store.value is None
