@@ -8,6 +8,7 @@ may still arrive can depend on it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,9 @@ NEVER = -(1 << 63) + 1
 ACCEPTED, LATE = "accepted", "late"
 COMPLETE, INCOMPLETE = "complete", "incomplete"
 
+#: Microseconds of a block of waiting rows, and how many rows are gathered before they are put into their blocks.
+BLOCK, KEEP_ROWS = 3_600_000_000, 200_000
+
 
 def with_state(spark: SparkSession) -> None:
     """Arbitrary state needs the embedded store; a provider that the session names is kept if it is one."""
@@ -85,46 +89,69 @@ class Echoes(StatefulProcessor):
         self.hold = hold_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "t long", "row_id string")
+        # times in order, each with its smallest id, by blocks of time: the store is asked per block, not per row
+        self.waiting = handle.getMapState("waiting", "block long", "times array<long>, ids array<string>")
         self.last = handle.getValueState("last", "t long")
         self.deadline = Deadline(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         bound = timerValues.getCurrentWatermarkInMs() * 1000
+        blocks, some, n = {k[0] for k in self.waiting.keys()}, [], 0
         for batch in rows:
             late = batch[batch["t"] < bound]
             if len(late):
                 yield late.assign(kind=LATE)[["key", "t", "row_id", "kind"]]
-            fresh = batch[batch["t"] >= bound].groupby("t")["row_id"].min()
-            for t, row_id in fresh.items():
-                held = self.waiting.getValue((t,)) if self.waiting.containsKey((t,)) else None
-                if held is None or row_id < held[0]:
-                    self.waiting.updateValue((t,), (row_id,))
-        yield from self._decide(key[0], bound, False)
+            some.append(batch.loc[batch["t"] >= bound, ["t", "row_id"]])
+            n += len(some[-1])
+            if n >= KEEP_ROWS:
+                self._keep(some, blocks)
+                some, n = [], 0
+        if n:
+            self._keep(some, blocks)
+        yield from self._decide(key[0], bound, blocks, False)
+
+    def _keep(self, some: list[pd.DataFrame], blocks: set[int]) -> None:
+        """Adds rows to the blocks of their times."""
+
+        def first(rows: list[pd.DataFrame]) -> pd.DataFrame:
+            return pd.concat(rows).sort_values(["t", "row_id"]).drop_duplicates("t")
+
+        rows = first(some)
+        for block, part in rows.groupby(rows["t"] // BLOCK):
+            if block in blocks:
+                times, ids = self.waiting.getValue((block,))
+                part = first([part, pd.DataFrame({"t": times, "row_id": ids})])
+            self.waiting.updateValue((block,), (part["t"].tolist(), part["row_id"].tolist()))
+            blocks.add(block)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._decide(key[0], timerValues.getCurrentWatermarkInMs() * 1000, True)
+        yield from self._decide(key[0], timerValues.getCurrentWatermarkInMs() * 1000, {k[0] for k in self.waiting.keys()}, True)
 
-    def _decide(self, key: str, bound: int, fired: bool) -> Iterator[pd.DataFrame]:
+    def _decide(self, key: str, bound: int, blocks: set[int], fired: bool) -> Iterator[pd.DataFrame]:
         """Decides what the watermark has passed, and sets the timer for what is left."""
-        held = sorted(k[0] for k in self.waiting.keys())
         now = self.last.get()
-        last, taken = (now[0] if now is not None else None), []
-        for t in held:
-            if t >= bound:
+        last, taken, left = (now[0] if now is not None else None), [], None
+        for block in sorted(blocks):
+            times, ids = self.waiting.getValue((block,))
+            end = bisect_left(times, bound)
+            i = 0 if last is None else bisect_left(times, last + self.hold)
+            while i < end:
+                last = times[i]
+                taken.append((key, last, ids[i], ACCEPTED))
+                i = max(i + 1, bisect_left(times, last + self.hold))
+            if end < len(times):
+                left = times[end]
+                if end:
+                    self.waiting.updateValue((block,), (list(times[end:]), list(ids[end:])))
                 break
-            if last is None or t - last >= self.hold:
-                last = t
-                taken.append((key, t, self.waiting.getValue((t,))[0], ACCEPTED))
-            self.waiting.removeKey((t,))
-        left = [t for t in held if t >= bound]
-        if last is not None and last + self.hold <= bound and not left:
+            self.waiting.removeKey((block,))
+        if last is not None and last + self.hold <= bound and left is None:
             self.last.clear()
             last = None
         elif taken:
             self.last.update((last,))
-        if left:
-            self.deadline.at(left[0] // 1000 + 1, fired)
+        if left is not None:
+            self.deadline.at(left // 1000 + 1, fired)
         else:
             self.deadline.at(-(-(last + self.hold) // 1000) if last is not None else None, fired)
         if taken:

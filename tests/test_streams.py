@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -178,3 +179,49 @@ def test_parts_ask_the_store_little_and_wait_for_the_newest(spark):
     assert epoch(30, (2, "c", 40_000), (1, "b", 40_001), (0, "a", 40_002)) == [("abc", 40_000, 3, stateful.COMPLETE)]
     assert epoch(30, (0, "a", 41_000)) == [] and store.value == ([], 40_002)  # sent again
     assert fire(50) == [] and store.value is None
+
+
+class _Blocks(_Store):
+    """A store with a map, counted too."""
+
+    def __init__(self):
+        super().__init__()
+        self.held = {}
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return _Store()
+
+    def keys(self):
+        return self._count(list(self.held))
+
+    def getValue(self, key):
+        return self._count(self.held[key])
+
+    def updateValue(self, key, value):
+        self.held[key] = self._count(value)
+
+    def removeKey(self, key):
+        self._count(self.held.pop(key))
+
+    def deleteTimer(self, ms):
+        self._count()
+
+
+def test_echoes_ask_the_store_by_block(spark):
+    store, echoes = _Blocks(), stateful.Echoes(1_000)
+    echoes.init(store)
+    rows = pd.DataFrame({"key": "k", "t": [i * 300_000 for i in range(10_000)], "row_id": [f"b{i}" for i in range(10_000)]})
+    again = rows.assign(row_id=rows["row_id"].str.replace("b", "a"))
+
+    def epoch(now, *batches):
+        store.now, store.calls = now, 0
+        return [tuple(r) for d in echoes.handleInputRows(("k",), iter(batches), store) for r in d.itertuples(index=False)]
+
+    assert epoch(0, rows, again) == [] and store.calls <= 8
+    taken = epoch(1_500_100, rows.iloc[-1:])
+    assert taken == [("k", i * 300_000, f"a{i}", stateful.ACCEPTED) for i in range(0, 5_001, 4)] and store.calls <= 12
+    assert store.held[(0,)][0][0] == 5_001 * 300_000 and store.timers[-1] == 5_001 * 300 + 1
+    assert epoch(1_500_100, rows.iloc[:1]) == [("k", 0, "b0", stateful.LATE)]
