@@ -27,7 +27,7 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _written(self, name: str) -> DataFrame:
+    def written(self, name: str) -> DataFrame:
         """A view with a window that other views name several times: worked out once and written."""
         key = f"{name} written"
         if key not in self._views:
@@ -44,7 +44,7 @@ class Tables:
             again = [n for n in needs if n in VIEWS and text.count("{" + n + "}") > 1 and " over (" in VIEWS[n][1]]
             self._views[name] = self.spark.sql(
                 text.format(**{n: "{" + n + "}" for n in needs}),
-                **{n: self._written(n) if n in again else getattr(self, n) for n in needs},
+                **{n: self.written(n) if n in again else getattr(self, n) for n in needs},
             )
         return self._views[name]
 

@@ -25,3 +25,8 @@ def test_results_are_compressed(spark, tables):
     written = sum(p.stat().st_size for p in path.glob("part-*"))
     assert written * 5 < plain_size(spark, path)
     assert ocr_json.read_ocr(spark, str(path), one_per_file=False).selectExpr("sum(size(items))").first()[0] == tables.tokens.count()
+
+
+def test_responses_are_compressed(spark, tables):
+    files = token_queries._responses(tables).inputFiles()
+    assert files and all(f.endswith(".gz") for f in files)
