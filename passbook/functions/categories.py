@@ -48,18 +48,21 @@ def rule_text(title: Column, merchant: Column) -> Column:
 def rule_tokens(text: Column) -> Column:
     """Words of the text, and the phrases that occur in it.
 
-    The text is cut once at everything but ASCII word characters; all rules then
-    are one hash intersection instead of a regular expression per category.
+    The words are read once, as runs of ASCII word characters; all rules then are one look-up
+    in a hash set instead of a regular expression per category. A pattern to split at would be
+    compiled anew for every row, one to find is kept.
     """
     rules = (EXPENSE_KEYWORDS, INCOME_KEYWORDS)
     phrases = F.array(*[F.lit(k) for r in rules for line in r.values() for k in line if is_phrase(k)])
-    return let(text, lambda x: F.concat(F.split(x, "[^a-z0-9_]+"), F.filter(phrases, lambda p: F.contains(x, p))))
+    return let(text, lambda x: F.concat(F.regexp_extract_all(x, F.lit("[a-z0-9_]+"), F.lit(0)), F.filter(phrases, lambda p: F.contains(x, p))))
 
 
 def _first_keyword(tokens: Column, rules: dict[str, str]) -> Column:
-    """First keyword in rule order: an intersection keeps the order of its left side."""
+    """First keyword in rule order: an intersection keeps the order of its left side. Most texts hold none."""
     ordered = list(dict.fromkeys(k for line in rules.values() for k in line))
-    return F.try_element_at(F.array_intersect(F.array(*[F.lit(k) for k in ordered]), tokens), F.lit(1))
+    found = F.filter(tokens, lambda word: word.isin(ordered))
+    first = F.array(*[F.lit(k) for k in ordered])
+    return let(found, lambda held: F.when(F.size(held) > 0, F.try_element_at(F.array_intersect(first, held), F.lit(1))))
 
 
 def matched_keyword(kind: Column, tokens: Column) -> Column:

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from passbook.functions import boxes, lines as ln, tokens as t
+from passbook.functions import boxes, categories, lines as ln, tokens as t
 from passbook.functions.messages import message_date, minor_from_text
 from passbook.functions.text import no_blanks, strip
 from passbook.operators import skew
@@ -97,3 +97,18 @@ def test_boxes_are_read_by_their_form(spark, raw, box):
     df = spark.createDataFrame([(raw,)], "raw string").select(found.alias("b"))
     b = df.first()["b"]
     assert (b and (b["min_x"], b["min_y"], b["max_x"], b["max_y"])) == box
+
+
+def test_keywords_are_looked_up_without_a_split(spark):
+    """No pattern is compiled for each row, and the first keyword in rule order decides, whatever the text's order."""
+    rows = ["uber after zomato", "zomato & uber", "nothing here", "", None, "UBERX", "café_uber uber", "  uber"]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    found = df.select(categories.matched_keyword(F.lit("expense"), categories.rule_tokens(F.lower("text"))).alias("k"))
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    listed = list(dict.fromkeys(k for line in categories.EXPENSE_KEYWORDS.values() for k in line))
+
+    def first(x):
+        words = None if x is None else re.split("[^a-z0-9_]+", x.lower())
+        return words and next((k for k in listed if (k in x.lower() if categories.is_phrase(k) else k in words)), None)
+
+    assert [r["k"] for r in found.collect()] == [first(x) for x in rows]
