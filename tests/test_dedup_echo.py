@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from passbook.operators import dedup, echo
+from passbook.operators import dedup, echo, inbox
 from passbook.operators.skew import salted_left_join
 from passbook.schema import LEDGER
 
@@ -44,6 +44,34 @@ def test_hot_fingerprint_gives_the_same_result(spark):
     assert {r.id: r.is_duplicate for r in again.collect()} == want
 
 
+def test_rows_without_hot_fingerprints_are_shuffled_once(spark):
+    rng = random.Random(5)
+    names = ["m", " M ", "n", None]
+    rows = [(rng.choice("abc"), i, str(i), DAY, rng.randrange(40), "t", rng.choice(names), "expense") for i in range(600)]
+    df = spark.createDataFrame(rows, ROWS)
+    ledger = spark.createDataFrame(
+        [(f"l{i}", "expense", i, "INR", "x", "M", None, DAY, None, "manual", DAY, DAY) for i in range(0, 40, 3)], LEDGER
+    )
+    pending = df.where("amount % 5 = 0 and batch_id = 'a'")
+    for decide in (
+        lambda hot: dedup.detect_duplicates(df, ledger, min_hot=hot),
+        lambda hot: dedup.rows_to_stage(df, ledger, pending, min_hot=hot),
+    ):
+        cold, hot = (decide(n).select("id", "fp", "duplicate_source", "is_duplicate") for n in (1000, 2))
+        assert cold.count() and sorted(map(repr, cold.collect())) == sorted(map(repr, hot.collect()))
+    plan = dedup.detect_duplicates(df, ledger)._jdf.queryExecution().optimizedPlan().toString()
+    # The rows are read once; each of the frames that a hot fingerprint asks for reads them again.
+    assert plan.count("fingerprints") + plan.count("Relation [") == 1 and "Window" in plan
+
+
+def test_review_totals_take_ids_or_a_test(spark):
+    rows = [(str(i), DAY if i % 2 else None, i, 0.9, 0.9, 0.9, 0.9, i % 3 == 0) for i in range(20)]
+    kinds = "id string, date timestamp_ntz, amount long, confidence double, amount_confidence double, merchant_confidence double, date_confidence double, is_duplicate boolean"
+    df = spark.createDataFrame(rows, kinds).withColumn("warnings", F.array().cast("array<string>"))
+    test = F.col("date").isNotNull() & (F.col("amount") > 5)
+    assert inbox.review_totals(df, test).collect() == inbox.review_totals(df, df.where(test)).collect()
+
+
 def test_salted_join_equals_plain_join(spark):
     left = spark.range(1000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50))
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
