@@ -1,5 +1,6 @@
 """Text steps of tokens and lines: shortcuts for texts that cannot match change no result, and nothing is worked out twice."""
 
+import random
 import re
 from datetime import datetime
 
@@ -112,3 +113,23 @@ def test_keywords_are_looked_up_without_a_split(spark):
         return words and next((k for k in listed if (k in x.lower() if categories.is_phrase(k) else k in words)), None)
 
     assert [r["k"] for r in found.collect()] == [first(x) for x in rows]
+
+
+def test_lines_that_hold_no_amount_are_not_read(spark, monkeypatch):
+    """The tests before the readings change no result, and let neither a date nor a bare amount through."""
+    rng = random.Random(11)
+    parts = ["₹", "rs", "Rs.", "INR", "r", "z", "F", "7", "12", "450", "1,200", ".50", "+", "-", " ", "  ", "\u200b", "\ufeff", "\u00a0", "\n", "September", "Shop", "？", "¥", "*", "3 days ago"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(1, 6))),) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "text string")
+
+    def read():
+        text = F.col("text")
+        return df.select(text, ln.line_amount(text).alias("a"), ln.line_amount(text, True).alias("b"), ln.split_line(text).alias("s"))
+
+    found = read().collect()
+    for name, every in (("MAY_AMOUNT", r"\d"), ("MAY_SEVEN", r"\d"), ("MAY_SPLIT", r"\d\s*$")):
+        monkeypatch.setattr(ln, name, every)
+    assert found == read().collect() and any(r["s"] for r in found)
+    monkeypatch.undo()
+    assert not re.search(ln.MAY_AMOUNT, "12 September") and not re.search(ln.MAY_SPLIT, "₹1,234.50")
+    assert re.search(ln.MAY_AMOUNT, "z450") and re.search(ln.MAY_SPLIT, "Shop 45 ")
