@@ -5,10 +5,13 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from compare import compare, connect
 from layouts import EXPECTED, TOKEN_SCHEMA, layout_rows, token
+from passbook import catalog
+from passbook.catalog.registry import Tables
 from passbook.functions import lines as line_rules
 from passbook.functions import tokens as rules
-from passbook.operators import regions, spatial, tokens
+from passbook.operators import regions, skew, spatial, tokens
 
 AS_OF = datetime(2026, 9, 20, 12)
 ACCEPTED = {"₹3,700.97": 370097, "R40": 4000, "R2,500": 250000, "+1,000": 100000, "5,000": 500000, "349": 34900, "75,000": 500000,
@@ -113,6 +116,68 @@ def test_neighbours_across_stripes(spark):
         assert (r.below.token_no if r.below else None) == (below if below < 60 else None)
 
 
+@pytest.mark.parametrize("min_hot,counted", [(100_000, False), (20, False), (20, True)])
+def test_neighbours_with_and_without_stripes(spark, min_hot, counted):
+    """Images below and above the limit, rows without a place, and an image without amounts."""
+    rows = [("hot", n, (n * 37 % 61) * 53.0, n % 9 == 0) for n in range(61)] + [("cold", n, n * 400.0, n == 2) for n in range(5)]
+    rows += [("bare", n, n * 10.0, False) for n in range(3)]
+    rows += [(i, 100 + n, None, n == 1) for i in ("hot", "cold") for n in range(3)]
+    df = spark.createDataFrame(rows, "image_id string, token_no long, cy double, a boolean")
+    counts = df.groupBy("image_id").agg(F.count("*").alias("n")) if counted else None
+    order = [F.col("cy"), F.col("token_no")]
+    out = tokens.neighbours(df, F.col("a"), F.struct("cy", "token_no"), order, counts, min_hot)
+    assert out.columns == [*df.columns, "above", "below"]
+    got = {(r.image_id, r.token_no): (r.above and r.above.token_no, r.below and r.below.token_no) for r in out.collect()}
+    want = {}
+    for i, no, cy, _ in rows:
+        of = [(c or 0.0, m) for j, m, c, a in rows if j == i and a and (c is None) == (cy is None)]
+        here = (cy or 0.0, no)
+        up, down = max([x for x in of if x <= here], default=None), min([x for x in of if x >= here], default=None)
+        want[i, no] = (up and up[1], down and down[1])
+    assert got == want
+
+
+def test_neighbours_take_one_shuffle_and_one_sort(spark):
+    df = spark.createDataFrame([token("i", n, "₹1" if n % 7 == 0 else "x", 0, 97 * n, 50, 97 * n + 20) for n in range(60)], TOKEN_SCHEMA)
+    out = tokens.neighbours(df, F.col("text") == "₹1", F.struct("cy", "token_no"), [F.col("cy"), F.col("token_no")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange hashpartitioning"), plan.count("Sort ["), plan.count("Join")) == (1, 1, 0)
+
+
+def test_nearest_amount_plan_and_odd_orders(spark, tmp_path):
+    """Order lines are neither written nor read thrice; a long order and lines without a key give what SQL gives."""
+    at = "timestamp '2026-03-04 00:00:00'"
+    lines_of = [(1, 1, 10.5), (1, 2, 7.25), (1, 3, 3.0), (None, 1, 5.0), (None, 2, 6.0), (3, 1, 0.0), *((9, n, 1.0 * n) for n in range(1, 40))]
+    con = connect(str(tmp_path))
+    con.execute("create table l (k bigint, n integer, p double)")
+    con.executemany("insert into l values (?, ?, ?)", lines_of)
+    con.execute(f"""copy (select k as l_orderkey, n as l_linenumber, p as l_extendedprice, n::bigint as l_partkey, 3::bigint as l_suppkey,
+                    {at} as l_shipdate from l) to '{tmp_path}/lineitem.parquet' (format parquet)""")
+    con.execute(f"""copy (select distinct k as o_orderkey, 20.4::double as o_totalprice, 5::bigint as o_custkey, {at} as o_orderdate
+                    from l where k is not null) to '{tmp_path}/orders.parquet' (format parquet)""")
+    found = catalog.queries()["join_nearest_amount"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("FileScan"), plan.count("Exchange hashpartitioning")) == (2, 2)
+    assert compare(found, connect(str(tmp_path)), catalog.oracle_sql()["join_nearest_amount"]) is None
+
+
+def test_tokens_at_once_are_the_tokens(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.tokens_at_once.dtypes == t.tokens.dtypes
+    assert t.tokens.exceptAll(t.tokens_at_once).isEmpty() and t.tokens_at_once.exceptAll(t.tokens).isEmpty()
+    most = t.tokens_most.groupBy("image_id").agg(F.sum("n").alias("most"))
+    held = t.tokens.groupBy("image_id").agg(F.count("*").alias("n"))
+    assert held.join(most, "image_id", "left").where("most is null or most < n").isEmpty()
+
+
+def test_hot_buckets(spark):
+    counts = spark.createDataFrame([(f"k{i}", 3) for i in range(50)] + [("big", 30), ("big", 30)], "k string, n int")
+    many = skew.in_hot_buckets(counts, ["k"], 40)
+    found = {r.k for r in counts.where(many).collect()}
+    assert "big" in found and len(found) < 10
+    assert skew.in_hot_buckets(counts, ["k"], 1000) is None
+
+
 @pytest.mark.parametrize("lenient,kind", [(False, None), (True, "date")])
 def test_lenient_months(spark, lenient, kind):
     assert spark.range(1).select(rules.date_kind(F.lit("12 Maruti"), lenient).alias("k")).first().k == kind
